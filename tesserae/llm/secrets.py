@@ -58,12 +58,12 @@ PER_CHAR, IN_ALL = 0.35, 12.0
 
 
 def ordinary_samples(n: int = 6000) -> list[str]:
-    """Labelled ordinary: identifiers of two to four words in the usual cases, and long words of prose pieces."""
+    """Labelled ordinary: identifiers of two to four words in the usual cases, long words of prose pieces, and plain numbers."""
     out = []
     for i in range(n):
         h = hashlib.sha256(f"ordinary{i}".encode()).digest()
         words = [ORDINARY[(h[2 * k] * 256 + h[2 * k + 1]) % len(ORDINARY)] for k in range(2 + h[8] % 3)]
-        style = h[9] % 6
+        style = h[9] % 7
         if style == 0:
             out.append("_".join(words))
         elif style == 1:
@@ -72,6 +72,8 @@ def ordinary_samples(n: int = 6000) -> list[str]:
             out.append("-".join(words))
         elif style == 3:
             out.append("_".join(words).upper())
+        elif style == 6:
+            out.append("".join(str(b % 10) for b in h[10 : 26 + h[26] % 6]))
         else:
             word = "".join(PIECES[b % len(PIECES)] for b in h[10:22])
             out.append((word, word.capitalize(), word.upper())[h[22] % 3 if style == 5 else 0])
