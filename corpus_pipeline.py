@@ -1,0 +1,83 @@
+"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; ``run`` writes every stage's
+result to the shared folder and reads it back for the next.  All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm import decontam, jaccard, mixing, sharding, toxicity
+from tesserae.storage import keep_ids, materialise
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: SQL cannot express the trained models and the random paths of the first two stages; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not reject; labels are learnt from the labelled rows among ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rest = tuple(c for c in COLUMNS if c != "doc_id")
+    return toxicity.score_toxicity(docs, labels, keep=rest).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones: that with the smallest id.  Of rows that repeat an id, one stays; rows with
+    a null id are all kept, as they are classes of their own."""
+    classes = jaccard.join_similar(docs.select("doc_id", "text"))
+    copies = materialise(classes.where("doc_id is not null and doc_id != class_id"))
+    kept = keep_ids(docs, copies, "doc_id", "left_anti")
+    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    once = keep_ids(kept, repeated, "doc_id", "left_anti")
+    firsts = keep_ids(kept, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return once.select(*COLUMNS).unionByName(firsts.select("doc_id", "row.*").select(*COLUMNS))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keep_ids(docs, leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: words taken over size, rounded; one that is taken at all stays at least
+    once, and so does one without words, which takes none of the mix's budget."""
+    taken = materialise(mixing.mix_documents(docs).where("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")))
+    times = taken.withColumn("times", F.when(F.col("taken") > 0, F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).otherwise(0).cast("int"))
+    return repeat_rows(docs, times.where("times != 1").select("doc_id", "times")).select(*COLUMNS)
+
+
+def repeat_rows(docs: DataFrame, times: DataFrame) -> DataFrame:
+    """Each row as often as ``times`` says for its id; ids that are not listed stay as they are."""
+    times = materialise(times)
+    dropped = keep_ids(docs, times.where("times = 0"), "doc_id", "left_anti")
+    out = dropped
+    for n in range(2, 1 + (times.agg(F.coalesce(F.max("times"), F.lit(1))).first()[0])):
+        more = keep_ids(dropped, times.where(F.col("times") >= n), "doc_id", "left_semi")
+        out = out.unionByName(more)
+    return out
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix; repeats of a document share a shard and have slots of their own."""
+    return sharding.assign_shards(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

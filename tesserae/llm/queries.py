@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, decontam, mixing, quality, secrets, sharding, substrings, toxicity
+import corpus_pipeline
+from tesserae.llm import ann, decontam, jaccard, mixing, quality, secrets, sharding, substrings, toxicity
 from tesserae.llm.common import table
 
 
@@ -42,7 +43,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_substrings, op5_neighbours, op6_mixing, op7_sharding, op8_secrets, op9_quality)
-}
+    f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_substrings, op5_neighbours, op6_mixing, op7_sharding, op8_secrets, op9_quality, op10_jaccard)
+} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}
