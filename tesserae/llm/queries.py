@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tesserae.llm import ann, decontam, jaccard, mixing, quality, secrets, sharding, substrings, toxicity
+from tesserae.llm import ann, decontam, jaccard, lmscore, mixing, quality, secrets, sharding, substrings, toxicity
 from tesserae.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_substrings, op5_neighbours, op6_mixing, op7_sharding, op8_secrets, op9_quality, op10_jaccard)
+    f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_toxicity, op4_substrings, op5_neighbours, op6_mixing, op7_sharding, op8_secrets, op9_quality, op10_jaccard)
 } | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}
