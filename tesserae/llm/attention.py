@@ -16,6 +16,8 @@ INPUTS, CLASSES = 4096, 128
 #: Which window positions each scored position may attend to.
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(STRIDE)[:, None] + WINDOW - STRIDE, 0.0, -1e9).astype(np.float32)
 SCALE = np.float32(WIDTH**-0.5)
+#: Sums as products, which are faster than reductions of short rows.
+ONES, ONE_PER_CLASS = np.ones((WINDOW, 1), dtype=np.float32), np.ones(CLASSES, dtype=np.float32)
 SHAPES = {
     "E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH),
     "W1": (WIDTH, INNER), "b1": (INNER,), "W2": (INNER, WIDTH), "U": (WIDTH, CLASSES), "b": (CLASSES,),
@@ -122,13 +124,13 @@ class Scorer:
     def block_scores(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the class probability of each target [n, STRIDE] after windows [n, WINDOW]."""
         m, last = self.m, ids[:, WINDOW - STRIDE :]
-        s = (self.Q[last] + self.PQ) @ (self.K[ids] + self.PK).transpose(0, 2, 1)
+        s = (self.Q.take(last, axis=0) + self.PQ) @ (self.K.take(ids, axis=0) + self.PK).transpose(0, 2, 1)
         s += CAUSAL
         if not valid.all():
             s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
         np.exp(np.minimum(s, 60, out=s), out=s)
-        c = (s @ (self.V[ids] + self.PV)) / s.sum(axis=-1, keepdims=True)
-        h = (m["E"][last] + m["P"][WINDOW - STRIDE :] + c @ m["Wo"]).reshape(-1, WIDTH)
+        c = (s @ (self.V.take(ids, axis=0) + self.PV)) / (s @ ONES)
+        h = (m["E"].take(last, axis=0) + m["P"][WINDOW - STRIDE :] + c @ m["Wo"]).reshape(-1, WIDTH)
         r = h @ m["W1"]
         r += m["b1"]
         np.maximum(r, 0, out=r)
@@ -138,4 +140,4 @@ class Scorer:
         t = target.ravel()
         picked = z[np.arange(len(t)), t]
         np.exp(z, out=z)
-        return (picked - np.log(z.sum(axis=-1))).reshape(target.shape)
+        return (picked - np.log(z @ ONE_PER_CLASS)).reshape(target.shape)

@@ -1,7 +1,7 @@
 """Language-model scores of whole texts: a causal self-attention model on subword ids, and a word-frequency baseline.
 
-The model predicts a class of subwords from the context, and the subword from its class by its frequency in the corpus.
-Frequencies, vocabulary and baseline come from all training texts; the weights are trained first on a bounded sample of
+The model predicts a class of subwords from the context, and the subword from its class by its frequency in the corpus after
+the subword before.  Frequencies, vocabulary and baseline come from all training texts; the weights are trained first on a bounded sample of
 windows and then by rounds in which every partition trains on the windows of its own texts and the weights are averaged.
 """
 
@@ -25,10 +25,15 @@ from tesserae.storage import materialise
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: What is encoded at a time: bounded runs, so a text without white space takes linear time.
 PIECE = r" ?\p{L}{1,40}| ?\p{N}{1,8}| ?[^\s\p{L}\p{N}]{1,16}|\s"
-#: Classes that hold one frequent subword each; the other classes share the rest by rank.
+#: Classes that hold one frequent subword each, the end among them; the others share the rest by rank, half of them those
+#: that begin a word.
 SINGLE = 112
+#: Weight of a subword's frequency in its class against its frequency after the subword before.
+BACKOFF = 10.0
 #: Frequent words whose counts are broadcast; windows of the first training; windows a text gives; rounds of averaging.
-HOT_WORDS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, ROUNDS = 65_536, 24_000, 2, 2
+HOT_WORDS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, ROUNDS = 65_536, 40_000, 4, 1
+#: Steps of the first training at least.
+FIRST_STEPS = 2000
 #: Words that a worker remembers the subwords of, and blocks scored at a time.
 MEMORY, BLOCKS = 300_000, 512
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -38,7 +43,7 @@ SEED = 42  # of the engine's xxhash64
 
 @dataclass
 class Vocabulary:
-    """Per subword id: input id, class, and log probability within the class."""
+    """Per subword id: input id, class, and log probability within the class; pairs (before, subword, n) by input id."""
 
     ranks: bytes
     end: int
@@ -46,6 +51,28 @@ class Vocabulary:
     klass: np.ndarray
     log_in_class: np.ndarray
     class_log_share: np.ndarray
+    pairs: np.ndarray
+
+    def after(self) -> np.ndarray:
+        """Log probability within its class of each input id (column) after each input id (row).
+
+        Its frequency after that id is backed off to its frequency in the class; the rest, which shares the last input id,
+        keeps the latter.
+        """
+        known = np.flatnonzero(self.input_id < A.INPUTS - 1)
+        column, klass = self.input_id[known], np.zeros(A.INPUTS, dtype=np.int64)
+        klass[column] = self.klass[known]
+        alone = np.zeros(A.INPUTS)
+        alone[column] = self.log_in_class[known]
+        before, to, n = self.pairs
+        seen = np.zeros((A.INPUTS, A.CLASSES))
+        np.add.at(seen, (before, klass[to]), n)
+        out = np.empty((A.INPUTS, A.INPUTS), dtype=np.float32)
+        share = np.log(BACKOFF / (seen + BACKOFF))
+        for row in range(A.INPUTS):
+            out[row] = alone + share[row, klass]
+        out[before, to] = np.log((n + BACKOFF * np.exp(alone[to])) / (seen[before, klass[to]] + BACKOFF))
+        return out
 
 
 def words_of(text: str) -> list[str]:
@@ -127,28 +154,38 @@ def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
     def split(batches):
         encoder = Encoder(held.value)
         for batch in batches:
-            sums: dict[int, int] = {}
+            sums: dict[tuple[int, int], int] = {}
             for word, n in zip(batch["word"], batch["n"]):
-                for piece in encoder.encode(" " + word) if word else [-1]:
-                    sums[piece] = sums.get(piece, 0) + n
-            yield pd.DataFrame({"piece": list(sums), "n": list(sums.values())})
-
-    got = counts.mapInPandas(split, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-    end = max(int(line.split()[1]) for line in ranks.splitlines() if line) + 1
+                before = -1
+                for piece in encoder.encode(" " + word) if word else [-2]:
+                    sums[before, piece] = sums.get((before, piece), 0) + n
+                    before = piece
+            yield pd.DataFrame({"before": [x for x, _ in sums], "piece": [x for _, x in sums], "n": list(sums.values())})
+
+    pairs = materialise(counts.mapInPandas(split, "before int, piece int, n long").groupBy("before", "piece").agg(F.sum("n").alias("n")))
+    got = pairs.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    tokens = {int(i): base64.b64decode(t) for t, i in (line.split() for line in ranks.splitlines() if line)}
+    end = max(tokens) + 1
     n = np.zeros(end + 1)
     piece = got["piece"].to_numpy()
     n[np.where(piece < 0, end, piece)] = got["n"].to_numpy()
     order = np.lexsort((np.arange(end + 1), -n))
-    input_id, klass = np.full(end + 1, A.INPUTS - 1), np.empty(end + 1, dtype=np.int64)
+    order = np.concatenate([[end], order[order != end]])
+    input_id, klass = np.full(end + 1, A.INPUTS - 1, dtype=np.int32), np.empty(end + 1, dtype=np.int64)
     input_id[order[: A.INPUTS - 1]] = np.arange(A.INPUTS - 1)
     klass[order[:SINGLE]] = np.arange(SINGLE)
-    bands = A.CLASSES - SINGLE
-    rank = np.arange(len(order) - SINGLE)
-    klass[order[SINGLE:]] = SINGLE + np.minimum(bands - 1, (np.log2(1 + rank / 16) * bands / 11).astype(np.int64))
+    rest, bands = order[SINGLE:], (A.CLASSES - SINGLE) // 2
+    begins = np.array([tokens.get(int(i), b"")[:1] == b" " for i in rest])
+    for k, some in enumerate((rest[begins], rest[~begins])):
+        band = np.log2(1 + np.arange(len(some)) / 8) * bands / 10
+        klass[some] = SINGLE + k * bands + np.minimum(bands - 1, band.astype(np.int64))
     smooth = n + 1
     total = np.bincount(klass, smooth, A.CLASSES)
-    share = np.maximum(total, 1) / total.sum()
-    return Vocabulary(ranks, end, input_id.astype(np.int32), klass, np.log(smooth / total[klass]), np.log(share).astype(np.float32))
+    within = pairs.where("before >= 0").toPandas()  # at most INPUTS squared rows that are of use, and far fewer
+    ids = np.stack([input_id[within["before"]], input_id[within["piece"]]]) if len(within) else np.zeros((2, 0), np.int32)
+    use = (ids < A.INPUTS - 1).all(axis=0)
+    known = np.concatenate([ids[:, use], within["n"].to_numpy()[None, use]]).astype(np.int64)
+    return Vocabulary(ranks, end, input_id, klass, np.log(smooth / total[klass]), np.log(np.maximum(total, 1) / total.sum()).astype(np.float32), known)
 
 
 def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
@@ -159,12 +196,14 @@ def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) ->
         for batch in batches:
             out = []
             for h, text in zip(batch["h"], batch["text"]):
+                if len(encoder.pieces) > MEMORY:
+                    encoder.forget()
                 words = words_of(text)
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 for _ in range(WINDOWS_PER_TEXT):
                     at = int(rng.integers(0, max(1, len(words))))  # only the words around it are encoded
                     some = words[max(0, at - A.WINDOW) : at + A.STRIDE]
-                    ids = np.array(([v.end] if at <= A.WINDOW else []) + [x for w in some for x in encoder.encode(" " + w)] + ([v.end] if at + A.STRIDE >= len(words) else []))
+                    ids = np.array(([v.end] if at <= A.WINDOW else []) + [x for w in encoder.word_ids(some) for x in encoder.pieces[w]] + ([v.end] if at + A.STRIDE >= len(words) else []))
                     block = int(rng.integers(0, max(1, -(-(len(ids) - 1) // A.STRIDE))))
                     inputs, valid, target = windows_of(ids, v, np.array([block])) if len(ids) > 1 else (None,) * 3
                     if inputs is not None:
@@ -185,7 +224,8 @@ def train_weights(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Weights from a bounded sample on the driver, then averaged over what the partitions learn from all windows."""
     spark = windows.sparkSession
     sample = windows.orderBy("h", "ids").limit(SAMPLE_WINDOWS).toPandas()
-    flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=4, rate=0.01)
+    epochs = max(2, -(-FIRST_STEPS * 64 // max(1, len(sample))))
+    flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=epochs, rate=0.01)
     part = 4096
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast(flat)
@@ -230,6 +270,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(batches):
         flat, known = model.value
         v, scorer, encoder = shared.value, A.Scorer(flat), Encoder(shared.value.ranks)
+        after = v.after()
         log_known: list[float] = []
         hashes: list[int] = []
         for batch in batches:
@@ -242,7 +283,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for w in list(encoder.index)[len(log_known) :]:
                     log_known.append(np.log10(known[w] + 1) if w in known else -1.0)
                     hashes.append(0 if w in known else word_hash(w))
-                yield rows_of(part["doc_id"], found, v, scorer, encoder, np.array(log_known), np.array(hashes, dtype=np.int64), known.get("", 0))
+                yield rows_of(part["doc_id"], found, v, after, scorer, encoder, np.array(log_known), np.array(hashes, dtype=np.int64), known.get("", 0))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
@@ -259,7 +300,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def rows_of(ids, found: list[np.ndarray], v: Vocabulary, scorer: A.Scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
+def rows_of(ids, found: list[np.ndarray], v: Vocabulary, after: np.ndarray, scorer: A.Scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
     """The result rows of some texts, given as arrays of remembered words; all their blocks are scored together."""
     pieces, begin = encoder.flat()
     streams, hot_known, hot_sum, cold = [], [], [], []
@@ -275,7 +316,9 @@ def rows_of(ids, found: list[np.ndarray], v: Vocabulary, scorer: A.Scorer, encod
     blocks = -(-(lengths - 1) // A.STRIDE)
     of = np.repeat(np.arange(len(streams)), blocks)
     start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * A.STRIDE
-    inputs, klass, inside = v.input_id[stream], v.klass[stream], v.log_in_class[stream]
+    inputs, klass = v.input_id[stream], v.klass[stream]
+    inside = v.log_in_class[stream]
+    inside[1:] = np.where(inputs[1:] < A.INPUTS - 1, after[inputs[:-1], inputs[1:]], inside[1:])
     out = np.zeros(len(streams))
     for i in range(0, len(of), BLOCKS):
         s, d = start[i : i + BLOCKS], of[i : i + BLOCKS]
