@@ -55,3 +55,12 @@ def split_join(rows: DataFrame, counted: DataFrame, on: str, count: str, total:
     bound = max(1, total // share)
     hot, cold = counted.where(F.col(count) > bound), counted.where(F.col(count) <= bound)
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(cold.hint("merge"), on))
+
+
+def hash_sample(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, those with the smallest values of a 64-bit hash column; all rows where there are no more.
+
+    A bound on the hash is chosen from the count, so nothing is sorted and no partition sends more than its share.
+    """
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(hash_col, F.lit(1 << 40)) < int((1 << 40) * rows / n))
