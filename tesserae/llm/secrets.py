@@ -54,16 +54,16 @@ PIECES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt n
 #: The alphabet; all other characters share a symbol.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Log-likelihood ratio (natural log, per character) from which a candidate is a secret, and in total.
-PER_CHAR, IN_ALL = 0.35, 12.0
+PER_CHAR, IN_ALL = 0.7, 12.0
 
 
 def ordinary_samples(n: int = 6000) -> list[str]:
-    """Labelled ordinary: identifiers of two to four words in the usual cases, long words of prose pieces, and plain numbers."""
+    """Labelled ordinary: identifiers of two to four words in the usual cases, long words of prose pieces, plain numbers, and rulers of one character."""
     out = []
     for i in range(n):
         h = hashlib.sha256(f"ordinary{i}".encode()).digest()
         words = [ORDINARY[(h[2 * k] * 256 + h[2 * k + 1]) % len(ORDINARY)] for k in range(2 + h[8] % 3)]
-        style = h[9] % 7
+        style = h[9] % 8
         if style == 0:
             out.append("_".join(words))
         elif style == 1:
@@ -74,6 +74,8 @@ def ordinary_samples(n: int = 6000) -> list[str]:
             out.append("_".join(words).upper())
         elif style == 6:
             out.append("".join(str(b % 10) for b in h[10 : 26 + h[26] % 6]))
+        elif style == 7:
+            out.append("aexAX0189=-_+/"[h[10] % 14] * (16 + h[11] % 30))
         else:
             word = "".join(PIECES[b % len(PIECES)] for b in h[10:22])
             out.append((word, word.capitalize(), word.upper())[h[22] % 3 if style == 5 else 0])
