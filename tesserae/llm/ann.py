@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.storage import materialise
+from tesserae.storage import hash_sample, materialise
 
 #: Vectors that the tree is fitted on, queries that the visits are calibrated on, children of a node, levels.
 SAMPLE_ROWS, CALIBRATION_ROWS, BRANCH, LEVELS = 20_000, 256, 8, 2
@@ -142,7 +142,7 @@ def search(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     """
     spark = table.sparkSession
     vectors = valid_vectors(table, id_col, vector_col)
-    sample = vectors.withColumn("h", F.xxhash64("vec_id", "v")).orderBy("h", "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+    sample = hash_sample(vectors.withColumn("h", F.xxhash64("vec_id", "v")), "h", SAMPLE_ROWS).orderBy("h", "vec_id").select("v").toPandas()["v"]
     if not len(sample):
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     width = int(pd.Series([len(x) for x in sample]).mode()[0])
@@ -194,7 +194,7 @@ def calibrate(filed: DataFrame, queries: DataFrame, tree, k: int, recall: float)
 
     The true neighbours come from a pass over the whole table, whose rows meet the bounded query set as a broadcast.
     """
-    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION_ROWS).toPandas()
+    some = hash_sample(queries.withColumn("h", F.xxhash64("query_id")), "h", CALIBRATION_ROWS).orderBy("h").toPandas()
     if not len(some):
         return 1
     held = filed.sparkSession.sparkContext.broadcast((matrix(some["q"]), some["query_id"].to_numpy()))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import id_crc, text_or_empty
-from tesserae.storage import materialise
+from tesserae.storage import hash_sample, materialise
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label): at most ``max_rows`` ids of each class out of the rows that are not held out.
+    """(doc_id, text, label): about ``max_rows`` ids of each class at most, out of the rows that are not held out.
 
     Held out is every id whose crc32 as text is 0 modulo ``folds``.  Null labels are no labels; of several labels of one id
     the largest holds; the ids with the smallest hashes are taken.  The sampled ids, bounded by ``2 * max_rows``, are
@@ -18,8 +18,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(id_crc() % folds != 0)
-    by_hash = known.withColumn("h", F.xxhash64("doc_id"))
-    taken = [by_hash.where(F.col("label") == c).orderBy("h", "doc_id").limit(max_rows).select("doc_id", "label") for c in (0, 1)]
+    by_hash = materialise(known.withColumn("h", F.xxhash64("doc_id")))
+    taken = [hash_sample(by_hash.where(F.col("label") == c), "h", max_rows).select("doc_id", "label") for c in (0, 1)]
     ids = materialise(taken[0].unionByName(taken[1]))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return texts.join(F.broadcast(ids), "doc_id")

@@ -347,7 +347,7 @@ def test_kneser_ney_sums_to_one(spark):
     sample = table(spark, rows).join(labels.select("doc_id", F.col("toxic").alias("label")).where("label is not null"), "doc_id").select("text", "label")
     model = toxicity.fit(sample)
     known = len(model.ids) - ("" in model.ids)
-    kinds = sample.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().count()
+    kinds = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))).alias("w")).distinct().count()
     words = [i for w, i in model.ids.items() if w]
     unseen = kinds + 1 - known  # words that share id 0, and the unknown word
     for c in (0, 1):
