@@ -54,4 +54,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_toxicity, op4_substrings, op5_neighbours, op6_mixing, op7_sharding, op8_secrets, op9_quality, op10_jaccard)
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op8_secrets": secrets.oracle_sql()}

@@ -175,3 +175,35 @@ def span_digest(scanned: DataFrame) -> DataFrame:
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+def oracle_sql() -> str:
+    """The default scan's digest as DuckDB SQL; the trained ratios are written out."""
+    n = len(ALPHABET) + 1
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    ratios = ", ".join(map(str, ratio_table(random_samples(), ordinary_samples())))
+
+    def spans(kind: str, pattern: str, keep: str) -> str:
+        p = quoted(pattern)
+        found = f"regexp_extract_all(t, {p})"
+        lengths = "list_sum(list_transform({}, lambda y: length(y)))"
+        start = f"(coalesce({lengths.format('g[1:i]')}, 0) + coalesce({lengths.format('m[1:i-1]')}, 0))::BIGINT"
+        return f"""(SELECT doc_id, list_filter([{{'s': {start}, 'k': {KINDS.index(kind)}, 'e': ({start} + length(m[i]))::BIGINT, 'v': m[i]}} for i in range(1, len(m) + 1)], lambda x: {keep}) AS {kind}
+          FROM (SELECT doc_id, string_split_regex(t, {p}) AS g, {found} AS m FROM d))"""
+
+    symbol = lambda at: f"instr('{ALPHABET}', v[{at}])"
+    joined = lambda s: f"array_to_string(list_transform({s}, lambda x: {list(KINDS)}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    cut = lambda s: f"list_transform({s}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT a.doc_id, assign, access, hex, list_sort({cut('assign')} || {cut('access')} || {cut('hex')}) AS base FROM
+  {spans('assign', ASSIGN, f"length(regexp_extract(x.v, {quoted(ASSIGN)}, 2)) >= 8")} a
+  JOIN {spans('access', ACCESS, 'length(x.v) >= 16')} c ON a.doc_id = c.doc_id JOIN {spans('hex', HEX.replace('+', '{32,}'), 'true')} h ON a.doc_id = h.doc_id),
+ratios AS (SELECT unnest([{ratios}]::DOUBLE[]) AS r, generate_subscripts([{ratios}], 1) AS i),
+candidates AS (SELECT doc_id, x.s AS s, x.e AS e, x.v AS v FROM (SELECT doc_id, unnest(markov) AS x FROM {spans('markov', CANDIDATE, 'true')})),
+steps AS (SELECT doc_id, s, e, {symbol('j')} * {n} + {symbol('j + 1')} + 1 AS i FROM (SELECT *, unnest(range(1, length(v))) AS j FROM candidates)),
+scored AS (SELECT doc_id, s, e FROM steps JOIN ratios USING (i) GROUP BY ALL HAVING sum(r) >= greatest({IN_ALL}, {PER_CHAR} * (e - s))),
+added AS (SELECT b.doc_id, list_sort(list({{'s': s, 'k': 3, 'e': e}})) AS added FROM scored JOIN b USING (doc_id) WHERE len(list_filter(base, lambda y: y.s < e AND s < y.e)) = 0 GROUP BY 1),
+f AS (SELECT b.*, coalesce(added, []) AS added FROM b LEFT JOIN added USING (doc_id))
+SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex, len(added)::BIGINT AS n_added,
+  sha256({joined('base')}) AS base_sha256, {joined('list_sort(base || added)')} AS spans FROM f"""
