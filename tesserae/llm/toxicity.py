@@ -26,6 +26,8 @@ MAX_ROWS = 6000
 DISCOUNT, PAIR_DISCOUNT = 3.0, 20.0
 #: Lengths of a passage that are tried, in tokens; 0 is the whole text.
 PASSAGES = (1, 2, 4, 8, 0)
+#: Texts that are scored together.
+SLICE = 128
 TOKEN = re.compile(r"\w+")
 
 
@@ -76,7 +78,11 @@ class KneserNey:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Calibrated probability of the toxic class."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst_passage(texts, self.passage) + self.intercept, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst_passages(texts, self.passage) + self.intercept, -40, 40)))
+
+    def worst_passages(self, texts: list[str], passage: int) -> np.ndarray:
+        """``worst_passage`` a slice of texts at a time, which bounds the arrays over tokens."""
+        return np.concatenate([np.zeros(0), *(self.worst_passage(texts[i : i + SLICE], passage) for i in range(0, len(texts), SLICE))])
 
 
 def count_bigrams(batches):
@@ -152,7 +158,7 @@ def calibrate(model: KneserNey, sample: DataFrame) -> tuple[int, float, float]:
     def measure(batches):
         for batch in batches:
             texts = list(batch["text"])
-            yield pd.DataFrame({f"p{k}": held.value.worst_passage(texts, k) for k in PASSAGES} | {"label": batch["label"].to_numpy()})
+            yield pd.DataFrame({f"p{k}": held.value.worst_passages(texts, k) for k in PASSAGES} | {"label": batch["label"].to_numpy()})
 
     tune = sample.select("text", "label").mapInPandas(measure, ", ".join(f"p{k} double" for k in PASSAGES) + ", label int").toPandas()
     y = tune.label.to_numpy(dtype=float)
