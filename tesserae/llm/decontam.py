@@ -56,7 +56,7 @@ def seed_filter(seeds: DataFrame) -> tuple[bytes, int] | None:
     """A bit per seed hash value (one byte each here) of bounded size; None where there are too many seeds for it to help."""
     size = 1 << 16
     n = seeds.count()
-    while size < 64 * n and size < FILTER_BITS:
+    while size < 16 * n and size < FILTER_BITS:
         size *= 2
     if n > FILTER_BITS // 8:
         return None
