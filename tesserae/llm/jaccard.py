@@ -26,9 +26,15 @@ WORDS, SIMILAR = 5, 0.8
 RUNS, FANOUT, LEVELS, DEEPER, DESCENTS = 8, 1.6, 3, 2, 3
 #: Sets that a tree node may hold to be compared there.
 BUCKET = 64
+#: Sketch shares from which a set is linked to the head of its tree node, and from which it leaves the tree there.  A set
+#: close to the head, at 0.6 or more, and one similar to it, at 0.8, leave the latter at 0.4 or more from the head.
+NEAR, CLOSE = 0.2, 0.75
 #: Bins of the sketch that compares sets of a bucket; rows and tokens of a block in the exact comparison.
 BINS, BLOCK_ROWS, BLOCK_TOKENS = 64, 2048, 2_000_000
 
+#: Rows whose sets are held together by a worker.
+SLICE = 512
+
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,10 +98,10 @@ def word_hashes(text: Column) -> Column:
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, node, size, paths, sketch) of every row with an id; ``node`` names the set and is null for an empty one."""
     def build(batches):
-        for batch in batches:
+        for batch in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             sets = [token_set(w) for w in batch["words"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "node": pd.array([set_digest(t) if len(t) else None for t in sets], dtype="Int64"), "size": [len(t) for t in sets],
+                "doc_id": batch["doc_id"].to_numpy(), "node": pd.array([set_digest(t) if len(t) else None for t in sets], dtype="Int64"), "size": [len(t) for t in sets],
                 "paths": [descend(t, ROOTS, LEVELS).view(np.int64) if len(t) else np.zeros(0, np.int64) for t in sets], "sketch": [sketch(t) for t in sets],
             })
 
@@ -106,7 +112,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def tokens_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, tokens) for the rows (node, doc_id) of ``wanted``, computed anew from the texts of those ids only."""
     def build(batches):
-        for batch in batches:
+        for batch in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             sets = [token_set(w) for w in batch["words"]]
             yield pd.DataFrame({"node": [set_digest(t) for t in sets], "tokens": [t.view(np.int64) for t in sets]})
 
@@ -151,30 +157,48 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def judge_heads(batches):
+    """For pairs of a set and the head of a node that holds it: whether their sketches link them, and whether they are close."""
+    for batch in batches:
+        a, b = (np.stack([np.asarray(x) for x in batch[c]]) if len(batch) else np.zeros((0, BINS), np.int32) for c in ("sketch", "head_sketch"))
+        share = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
+        out = pd.DataFrame({"node": batch["node"], "head": batch["head"], "close": share >= CLOSE})
+        yield out[share >= NEAR]
+
+
 def candidate_edges(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Edges (a, b) that connect all sets which share a path and may be similar; ``nodes`` holds node, doc_id, paths, sketch."""
+    """Edges (a, b) that connect all sets which share a path and may be similar; ``nodes`` holds node, doc_id, paths, sketch.
+
+    At a tree node with many sets, each is first compared with the node's smallest, its head.  Those near it are linked to it,
+    and those close to it need not go further down from there: whatever is similar to them is near the head, and so linked to
+    it as well.  So a large group of near copies leaves the tree at once, and only the others are split further.
+    """
     frontier = nodes.select("node", F.explode("paths").alias("path"))
     edges = None
     for descent in range(DESCENTS + 1):
         frontier = materialise(frontier)
         total = frontier.count()
-        counts = materialise(frontier.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        counts = materialise(frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"))
         small = frontier.join(counts.where(F.col("n") <= BUCKET).select("path").hint("merge"), "path")
         buckets = small.groupBy("path").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
         members = buckets.select(F.col("nodes"), F.explode("nodes").alias("node")).join(nodes.select("node", "sketch").hint("merge"), "node")
         filled = members.groupBy("nodes").agg(F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("m"))
         filled = filled.select(F.col("m.node").alias("nodes"), F.col("m.sketch").alias("sketches"))
-        found = filled.mapInPandas(link_bucket, "a long, b long")
-        big = split_join(frontier, counts.where(F.col("n") > BUCKET), "path", "n", total)
-        if descent == DESCENTS:
-            # sets that share this many sampled tokens are candidates of each other; the exact comparison decides
-            heads = materialise(frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("a")).where(F.col("n") > BUCKET))
-            found = found.unionByName(split_join(frontier, heads, "path", "n", total).select("a", F.col("node").alias("b")))
-        found = materialise(found.distinct())
+        found = materialise(filled.mapInPandas(link_bucket, "a long, b long").distinct())
         edges = found if edges is None else edges.unionByName(found)
-        if descent == DESCENTS or not counts.where(F.col("n") > BUCKET).limit(1).count():
+        large = counts.where(F.col("n") > BUCKET)
+        if not large.limit(1).count():
             return edges
-        seeds = materialise(big.groupBy("node").agg(F.collect_list("path").alias("seeds")))
+        big = materialise(split_join(frontier, large, "path", "n", total).where(F.col("node") != F.col("head")).select("node", "path", "head"))
+        pairs = big.select("node", "head").distinct().join(nodes.select("node", "sketch").hint("merge"), "node")
+        heads = materialise(large.select("head").distinct().join(nodes.select(F.col("node").alias("head"), F.col("sketch").alias("head_sketch")), "head"))
+        judged = materialise(pairs.join(small_side(heads), "head").mapInPandas(judge_heads, "node long, head long, close boolean"))
+        edges = edges.unionByName(judged.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        rest = big.join(judged.where("close").select("node", "head"), ["node", "head"], "left_anti")
+        if descent == DESCENTS:
+            # sets that share this many sampled tokens are candidates of each other; the exact comparison decides
+            return edges.unionByName(rest.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+        seeds = materialise(rest.groupBy("node").agg(F.collect_list("path").alias("seeds")))
         texts = tokens_of(docs, materialise(seeds.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")), id_col, text_col)
 
         def deeper(batches):
