@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import attention as A
 from tesserae.llm.common import WORD, id_crc, text_or_empty
-from tesserae.storage import materialise
+from tesserae.storage import hash_sample, materialise
 
 #: A public tokenizer's ranks; read on the driver and sent along, so executors need no such file.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -32,11 +32,11 @@ SINGLE = 112
 BACKOFF = 10.0
 #: Frequent words whose counts are broadcast; windows of the first training; windows a text gives; rounds of averaging.
 HOT_WORDS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, ROUNDS = 65_536, 40_000, 4, 1
-#: Steps of the first training at least.
-FIRST_STEPS = 2000
+#: Passes of the first training, and characters on either side of a training window's place that are encoded.
+EPOCHS, REACH = 4, 350
 #: Words that a worker remembers the subwords of, and blocks scored at a time.
-MEMORY, BLOCKS = 300_000, 512
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+MEMORY, BLOCKS = 300_000, 64
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SEED = 42  # of the engine's xxhash64
 
@@ -76,7 +76,8 @@ class Vocabulary:
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.translate(LOWER))
+    """Bytes are translated as that is faster; no other character's UTF-8 has bytes of A to Z."""
+    return WORDS.findall(text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass"))
 
 
 def word_column(text: Column) -> Column:
@@ -91,7 +92,7 @@ def word_hash(word: str) -> int:
 
 
 class Encoder:
-    """Words to subword ids, remembered for the most recent words, as one growing array with offsets."""
+    """Words to subword ids, remembered until there are ``MEMORY`` of them, as one growing array with offsets."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -102,26 +103,34 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.words: list[str] = []
         self.pieces: list[list[int]] = []
+        self.flat, self.begin = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def word_ids(self, words: list[str]) -> list[int]:
-        """Indices of words in this memory; call ``forget`` between batches to bound it."""
-        index = self.index
-        out = [index.get(w, -1) for w in words]
+        """Indices of words in this memory."""
+        get = self.index.get
+        out = [get(w, -1) for w in words]
         if -1 in out:
+            index = self.index
             for i, x in enumerate(out):
                 if x < 0:
                     w = words[i]
                     if w not in index:
                         index[w] = len(self.pieces)
+                        self.words.append(w)
                         self.pieces.append(self.encode(" " + w))
                     out[i] = index[w]
         return out
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """All remembered subwords in one array, and where each word's begin."""
-        lengths = np.fromiter(map(len, self.pieces), dtype=np.int64, count=len(self.pieces))
-        return np.fromiter((x for p in self.pieces for x in p), dtype=np.int32, count=int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+        new = self.pieces[len(self.begin) - 1 :]
+        if new:
+            lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+            self.flat = np.concatenate([self.flat, np.fromiter((x for p in new for x in p), dtype=np.int64, count=int(lengths.sum()))])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
+        return self.flat, self.begin
 
 
 def subword_stream(words: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -146,6 +155,18 @@ def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(training.groupBy("word").agg(F.count("*").alias("n")))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words whose count reaches the smallest bound that at most ``most`` words reach."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).where("n > 1").collect()  # a row per different count
+    bound, words = None, 0
+    for n, some in sorted(map(tuple, sizes), reverse=True):
+        words += some
+        if words > most:
+            break
+        bound = n
+    return counts.where(F.col("n") >= bound) if bound else counts.where("word = ''")
+
+
 def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
     """Input ids and classes from subword frequencies; they are summed on the executors, a row per subword comes back."""
     spark = counts.sparkSession
@@ -171,7 +192,7 @@ def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
     n[np.where(piece < 0, end, piece)] = got["n"].to_numpy()
     order = np.lexsort((np.arange(end + 1), -n))
     order = np.concatenate([[end], order[order != end]])
-    input_id, klass = np.full(end + 1, A.INPUTS - 1, dtype=np.int32), np.empty(end + 1, dtype=np.int64)
+    input_id, klass = np.full(end + 1, A.INPUTS - 1, dtype=np.int64), np.empty(end + 1, dtype=np.int64)
     input_id[order[: A.INPUTS - 1]] = np.arange(A.INPUTS - 1)
     klass[order[:SINGLE]] = np.arange(SINGLE)
     rest, bands = order[SINGLE:], (A.CLASSES - SINGLE) // 2
@@ -189,7 +210,8 @@ def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
 
 
 def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """(h, ids, valid, target): windows of every training text, at places that a hash picks; materialised."""
+    """(h, ids, valid, target): adjacent windows of every training text, at a place that a hash picks, end to end in one
+    array each; materialised."""
     def cut(batches):
         v = vocabulary.value
         encoder = Encoder(v.ranks)
@@ -198,16 +220,18 @@ def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) ->
             for h, text in zip(batch["h"], batch["text"]):
                 if len(encoder.pieces) > MEMORY:
                     encoder.forget()
-                words = words_of(text)
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
-                for _ in range(WINDOWS_PER_TEXT):
-                    at = int(rng.integers(0, max(1, len(words))))  # only the words around it are encoded
-                    some = words[max(0, at - A.WINDOW) : at + A.STRIDE]
-                    ids = np.array(([v.end] if at <= A.WINDOW else []) + [x for w in encoder.word_ids(some) for x in encoder.pieces[w]] + ([v.end] if at + A.STRIDE >= len(words) else []))
-                    block = int(rng.integers(0, max(1, -(-(len(ids) - 1) // A.STRIDE))))
-                    inputs, valid, target = windows_of(ids, v, np.array([block])) if len(ids) > 1 else (None,) * 3
-                    if inputs is not None:
-                        out.append((h, inputs[0].astype(np.int32), valid[0], np.where(target[0] >= 0, v.klass[target[0]], -1).astype(np.int32)))
+                at = int(rng.integers(0, max(1, len(text))))
+                low, high = max(0, at - REACH), at + REACH
+                words = words_of(text[low:high])
+                words = words[int(low > 0) : len(words) - int(high < len(text))]  # without words that the ends cut
+                ids = [x for w in encoder.word_ids(words) for x in encoder.pieces[w]]
+                ids = np.array([v.end] * (low == 0) + ids + [v.end] * (high >= len(text)))
+                if len(ids) > 1:
+                    blocks = -(-(len(ids) - 1) // A.STRIDE)
+                    first = int(rng.integers(0, max(1, blocks - WINDOWS_PER_TEXT + 1)))
+                    inputs, valid, target = windows_of(ids, v, np.arange(first, min(blocks, first + WINDOWS_PER_TEXT)))
+                    out.append((h, inputs.ravel(), valid.ravel(), np.where(target >= 0, v.klass[target], -1).ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=["h", "ids", "valid", "target"])
 
     rows = docs.where(id_crc(id_col) % 7 != 2).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
@@ -215,17 +239,15 @@ def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) ->
 
 
 def as_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(pdf):
-        return np.zeros((0, A.WINDOW), np.int32), np.zeros((0, A.WINDOW), bool), np.zeros((0, A.STRIDE), np.int32)
-    return np.stack(list(pdf["ids"])), np.stack(list(pdf["valid"])).astype(bool), np.stack(list(pdf["target"]))
+    join = lambda name, kind, width: np.concatenate([np.zeros(0, kind), *pdf[name]]).astype(kind).reshape(-1, width)
+    return join("ids", np.int32, A.WINDOW), join("valid", bool, A.WINDOW), join("target", np.int32, A.STRIDE)
 
 
 def train_weights(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Weights from a bounded sample on the driver, then averaged over what the partitions learn from all windows."""
     spark = windows.sparkSession
-    sample = windows.orderBy("h", "ids").limit(SAMPLE_WINDOWS).toPandas()
-    epochs = max(2, -(-FIRST_STEPS * 64 // max(1, len(sample))))
-    flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=epochs, rate=0.01)
+    sample = hash_sample(windows, "h", SAMPLE_WINDOWS // WINDOWS_PER_TEXT).toPandas().sort_values("h")
+    flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=EPOCHS, rate=0.01)
     part = 4096
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast(flat)
@@ -261,7 +283,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ranks = f.read()
     counts = count_words(docs, id_col, text_col)
     n_all, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = counts.orderBy(F.col("n").desc(), "word").limit(HOT_WORDS).toPandas()
+    hot = most_frequent(counts, HOT_WORDS).toPandas()
     vocabulary = build_vocabulary(counts, ranks)
     shared = spark.sparkContext.broadcast(vocabulary)
     flat = train_weights(training_windows(docs, shared, id_col, text_col), vocabulary)
@@ -271,19 +293,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flat, known = model.value
         v, scorer, encoder = shared.value, A.Scorer(flat), Encoder(shared.value.ranks)
         after = v.after()
-        log_known: list[float] = []
-        hashes: list[int] = []
+        log_known, hashes = np.zeros(0), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.iloc[first : first + 256]
                 if len(encoder.pieces) > MEMORY:
                     encoder.forget()
-                    log_known, hashes = [], []
+                    log_known, hashes = log_known[:0], hashes[:0]
                 found = [np.array(encoder.word_ids(words_of(t)), dtype=np.int64) for t in part["text"]]
-                for w in list(encoder.index)[len(log_known) :]:
-                    log_known.append(np.log10(known[w] + 1) if w in known else -1.0)
-                    hashes.append(0 if w in known else word_hash(w))
-                yield rows_of(part["doc_id"], found, v, after, scorer, encoder, np.array(log_known), np.array(hashes, dtype=np.int64), known.get("", 0))
+                new = encoder.words[len(log_known) :]
+                log_known = np.append(log_known, [np.log10(known[w] + 1) if w in known else -1.0 for w in new])
+                hashes = np.append(hashes, np.array([0 if w in known else word_hash(w) for w in new], dtype=np.int64))
+                yield rows_of(part["doc_id"], found, v, after, scorer, encoder, log_known, hashes, known.get("", 0))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
@@ -302,7 +323,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def rows_of(ids, found: list[np.ndarray], v: Vocabulary, after: np.ndarray, scorer: A.Scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
     """The result rows of some texts, given as arrays of remembered words; all their blocks are scored together."""
-    pieces, begin = encoder.flat()
+    pieces, begin = encoder.arrays()
     streams, hot_known, hot_sum, cold = [], [], [], []
     for words in found:
         streams.append(np.concatenate([[v.end], subword_stream(words, pieces, begin), [v.end]]).astype(np.int64))
