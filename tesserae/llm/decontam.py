@@ -1,24 +1,33 @@
-"""Benchmark decontamination by spaced seeds: masks that ignore some token positions find overlaps that survive substitutions.
+"""Benchmark decontamination by complete seeds: runs so short that any accepted overlap must contain one.
 
-A seed spans ten tokens, of which a mask selects six or seven.  Every item window and every second document window is
-hashed under each mask; equal hashes are hits, and a hit counts once the tokens around it agree well enough.
+If all but ``s`` of ``w`` aligned tokens agree, some run of ``ceil((w - s) / (s + 1))`` of them agrees.  Runs of that length
+are hashed at every position of items and documents; equal hashes are hits, and a hit counts once the tokens around it agree
+well enough.  So no overlap that the rule accepts goes without a hit.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import let, text_or_empty
 from tesserae.storage import BROADCAST_ROWS, materialise
 
-#: Masks over a span of ten tokens (1: the token counts).
-MASKS = ("1110010111", "1101100101", "1011011010", "0111101001")
-SPAN = 10
-#: Document windows begin at every STEP-th token; item windows begin at each.
-STEP = 2
 #: Tokens compared on either side of a hit, and the window that has to agree.
 CONTEXT, OVERLAP, AGREE = 24, 16, 0.8
+
+
+def run_length(width: int) -> int:
+    """Tokens of the longest run that every accepted overlap of ``width`` aligned tokens contains."""
+    wrong = width - math.ceil(width * AGREE)
+    return -(-(width - wrong) // (wrong + 1))
+
+
+#: Seed lengths by the tokens of an item (from 1), and the longest.
+RUNS = tuple(run_length(w) for w in range(1, OVERLAP + 1))
+SPAN = max(RUNS)
 #: Bits of the filter in front of the join, at most.
 FILTER_BITS = 1 << 22
 
@@ -29,27 +38,28 @@ def token_hashes(text: Column) -> Column:
     return F.when(clean == "", F.expr("cast(array() as array<bigint>)")).otherwise(F.transform(F.split(clean, " "), lambda w: F.xxhash64(w)))
 
 
-def masked(hashes: Column, at: Column) -> Column:
-    """One hash per mask of the window that begins at the 1-based position ``at``."""
-    return F.array(*(F.xxhash64(F.lit(m), *(F.get(hashes, at + (i - 1)) for i, bit in enumerate(mask) if bit == "1")) for m, mask in enumerate(MASKS)))
+def seed(hashes: Column, at: Column, length: int) -> Column:
+    """The hash of the run of ``length`` tokens that begins at the 1-based position ``at``, null if the tokens end before."""
+    return F.when(at + (length - 1) <= F.size(hashes), F.xxhash64(F.lit(length), *(F.get(hashes, at + (i - 1)) for i in range(length))))
 
 
-def starts(hashes: Column, step: int) -> Column:
-    """The 1-based positions at which windows begin."""
+def starts(hashes: Column) -> Column:
+    """The 1-based positions of all tokens."""
     none = F.expr("cast(array() as array<int>)")
-    return F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(1), F.size(hashes) - (SPAN - 1), F.lit(step))).otherwise(none)
+    return F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes))).otherwise(none)
 
 
 def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, item_pos, item_size, around, around_from, seed): a row per item window and mask."""
+    """(item_id, item_pos, item_size, length, around, around_from, seed): a row per item position where a run begins."""
     items = benchmark.select(F.col(id_col).alias("item_id"), token_hashes(text_or_empty(text_col)).alias("h"))
-    windows = items.select("item_id", "h", F.explode(starts(F.col("h"), 1)).alias("item_pos"))
+    sized = items.where(F.size("h") > 0).withColumn("length", F.element_at(F.array(*map(F.lit, RUNS)), F.least(F.lit(OVERLAP), F.size("h"))))
+    windows = sized.select("item_id", "h", "length", F.explode(starts(F.col("h"))).alias("item_pos"))
+    of_length = F.coalesce(*(F.when(F.col("length") == n, seed(F.col("h"), F.col("item_pos"), n)) for n in sorted(set(RUNS))))
     first = F.greatest(F.col("item_pos") - CONTEXT, F.lit(1))
     return windows.select(
-        "item_id", "item_pos", F.size("h").alias("item_size"), first.alias("around_from"),
-        F.slice("h", first, F.col("item_pos") + SPAN + CONTEXT - first).alias("around"),
-        F.explode(F.array_distinct(masked(F.col("h"), F.col("item_pos")))).alias("seed"),
-    )
+        "item_id", "item_pos", F.size("h").alias("item_size"), "length", first.alias("around_from"),
+        F.slice("h", first, F.col("item_pos") + SPAN + CONTEXT - first).alias("around"), of_length.alias("seed"),
+    ).where("seed is not null")
 
 
 def seed_filter(seeds: DataFrame) -> tuple[bytes, int] | None:
@@ -70,23 +80,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per (doc_id, item_id) that overlap: hits, overlap (most agreeing tokens around a hit), first_token.
 
     A pair overlaps if, around a common seed, some ``OVERLAP`` aligned tokens (all of a shorter item's) agree in at least
-    ``AGREE`` of their positions.  Null and empty texts and texts or items of under ten tokens have no seeds and appear
+    ``AGREE`` of their positions; every such pair has a common seed.  Null and empty texts and items have no seeds and appear
     nowhere; repeated rows with one id are merged by the result's grouping; other columns are ignored; an empty table on
     either side gives no rows.  Documents are not shuffled: the seeds of the benchmark are broadcast while they number at
     most ``BROADCAST_ROWS``, and beyond that candidate windows are shuffled instead.
     """
     seeds = materialise(item_seeds(benchmark, item_col, item_text))
     known = seed_filter(seeds)
+    lengths = sorted(r.length for r in seeds.select("length").distinct().collect()) or [SPAN]
     hashed = docs.select(F.col(id_col).alias("doc_id"), token_hashes(text_or_empty(text_col)).alias("h"))
 
     def passes(value: Column) -> Column:
         if known is None:
-            return F.lit(True)
+            return value.isNotNull()
         marks, size = known
         return F.substr(F.lit(marks), (F.pmod(value, F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
 
     def windows(h: Column) -> Column:
-        hit = F.filter(F.transform(starts(h, STEP), lambda i: F.struct(i.alias("pos"), F.filter(masked(h, i), passes).alias("seeds"))), lambda w: F.size(w["seeds"]) > 0)
+        hit = F.filter(F.transform(starts(h), lambda i: F.struct(i.alias("pos"), F.filter(F.array(*(seed(h, i, n) for n in lengths)), passes).alias("seeds"))), lambda w: F.size(w["seeds"]) > 0)
         first = lambda w: F.greatest(w["pos"] - CONTEXT, F.lit(1))
         return F.transform(hit, lambda w: F.struct(
             w["pos"].alias("pos"), w["seeds"].alias("seeds"), first(w).alias("from"), F.size(h).alias("size"),

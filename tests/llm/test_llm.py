@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -150,6 +151,21 @@ def test_leaks_survive_substitutions(spark):
     assert decontam.find_leaks(table(spark, rows), bench.where("false")).count() == 0
 
 
+def test_every_accepted_overlap_is_found(spark):
+    sizes = (16, 15, 10, 9, 4, 1)
+    items = {n: prose(n).split() for n in sizes}
+    items[1] = ["onlyone"]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    rows, pairs = [], set()
+    for n, tokens in items.items():
+        for wrong in combinations(range(n), n - -(-n * 4 // 5)):
+            for before in (4, 5):
+                pairs.add((len(rows), n))
+                rows.append((len(rows), " ".join(["q"] * before + ["z" if k in wrong else t for k, t in enumerate(tokens)] + ["y"] * 3)))
+    rows += [(len(rows), " ".join(["q"] * 4 + ["z" if k in (1, 5, 9, 13) else t for k, t in enumerate(items[16])])), (len(rows) + 1, " ".join(items[4][:3]))]
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(table(spark, rows), bench).collect()} == pairs
+
+
 # substrings
 
 
