@@ -113,6 +113,27 @@ def train(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarr
     return flat
 
 
+class Learner:
+    """Adam over windows that come in pools, for as long as they come; the rate falls with the steps taken to a tenth."""
+
+    def __init__(self, flat: np.ndarray, rate: float, batch: int = 64):
+        self.flat, self.rate, self.batch = flat.copy(), rate, batch
+        self.mean, self.square = np.zeros_like(flat), np.zeros_like(flat)
+        self.rng, self.step, self.seen = np.random.default_rng(5), 0, 0
+
+    def learn(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray) -> None:
+        order = self.rng.permutation(len(ids))
+        for i in range(0, len(ids), self.batch):
+            some = order[i : i + self.batch]
+            _, g = loss_and_gradient(self.flat, ids[some], valid[some], target[some])
+            self.step += 1
+            self.mean += 0.1 * (g - self.mean)
+            self.square += 0.01 * (g * g - self.square)
+            now = self.rate * max(0.1, 1 / (1 + self.step / 500))
+            self.flat -= np.float32(now) * (self.mean / (1 - 0.9**self.step)) / (np.sqrt(self.square / (1 - 0.99**self.step)) + 1e-8)
+        self.seen += len(ids)
+
+
 class Scorer:
     """The forward pass alone, with the projections of all input ids made once."""
 

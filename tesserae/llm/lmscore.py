@@ -30,10 +30,12 @@ PIECE = r" ?\p{L}{1,40}| ?\p{N}{1,8}| ?[^\s\p{L}\p{N}]{1,16}|\s"
 SINGLE = 112
 #: Weight of a subword's frequency in its class against its frequency after the subword before.
 BACKOFF = 10.0
-#: Frequent words whose counts are broadcast; windows of the first training; windows a text gives; rounds of averaging.
+#: Frequent words whose counts are broadcast; windows of the first training; windows a text gives to it; rounds of averaging.
 HOT_WORDS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, ROUNDS = 65_536, 40_000, 4, 1
-#: Passes of the first training, and characters on either side of a training window's place that are encoded.
+#: Passes of the first training, and characters on either side of its windows' place that are encoded.
 EPOCHS, REACH = 4, 350
+#: Windows that are shuffled together in the rounds.
+POOL = 4096
 #: Words that a worker remembers the subwords of, and blocks scored at a time.
 MEMORY, BLOCKS = 300_000, 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -209,9 +211,14 @@ def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
     return Vocabulary(ranks, end, input_id, klass, np.log(smooth / total[klass]), np.log(np.maximum(total, 1) / total.sum()).astype(np.float32), known)
 
 
-def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """(h, ids, valid, target): adjacent windows of every training text, at a place that a hash picks, end to end in one
-    array each; materialised."""
+def training_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, text) of every training text."""
+    return docs.where(id_crc(id_col) % 7 != 2).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
+
+
+def first_windows(texts: DataFrame, vocabulary) -> DataFrame:
+    """(h, ids, valid, target): adjacent windows of some of the training texts, at a place that a hash picks, end to end in
+    one array each."""
     def cut(batches):
         v = vocabulary.value
         encoder = Encoder(v.ranks)
@@ -234,8 +241,35 @@ def training_windows(docs: DataFrame, vocabulary, id_col: str, text_col: str) ->
                     out.append((h, inputs.ravel(), valid.ravel(), np.where(target >= 0, v.klass[target], -1).ravel().astype(np.int32)))
             yield pd.DataFrame(out, columns=["h", "ids", "valid", "target"])
 
-    rows = docs.where(id_crc(id_col) % 7 != 2).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
-    return materialise(rows.mapInPandas(cut, "h long, ids array<int>, valid array<boolean>, target array<int>"))
+    sample = hash_sample(texts, "h", SAMPLE_WINDOWS // WINDOWS_PER_TEXT)
+    return sample.mapInPandas(cut, "h long, ids array<int>, valid array<boolean>, target array<int>")
+
+
+def all_windows(encoder: Encoder, vocabulary: Vocabulary, text: str):
+    """Inputs, their validity and target classes of all windows of a text, ``POOL`` windows at most at a time."""
+    pieces = [x for w in encoder.word_ids(words_of(text)) for x in encoder.pieces[w]]
+    stream = np.array([vocabulary.end, *pieces, vocabulary.end])
+    blocks = -(-(len(stream) - 1) // A.STRIDE)
+    for first in range(0, blocks, POOL):
+        inputs, valid, target = windows_of(stream, vocabulary, np.arange(first, min(blocks, first + POOL)))
+        yield inputs.astype(np.int32), valid, np.where(target >= 0, vocabulary.klass[target], -1).astype(np.int32)
+
+
+def pools(batches, vocabulary: Vocabulary):
+    """All windows of all texts of some batches, about ``POOL`` at a time."""
+    encoder, held, n = Encoder(vocabulary.ranks), [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            if len(encoder.pieces) > MEMORY:
+                encoder.forget()
+            for some in all_windows(encoder, vocabulary, text):
+                held.append(some)
+                n += len(some[0])
+                if n >= POOL:
+                    yield tuple(map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def as_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,25 +277,27 @@ def as_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return join("ids", np.int32, A.WINDOW), join("valid", bool, A.WINDOW), join("target", np.int32, A.STRIDE)
 
 
-def train_weights(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+def train_weights(texts: DataFrame, vocabulary: Vocabulary, shared) -> np.ndarray:
     """Weights from a bounded sample on the driver, then averaged over what the partitions learn from all windows."""
-    spark = windows.sparkSession
-    sample = hash_sample(windows, "h", SAMPLE_WINDOWS // WINDOWS_PER_TEXT).toPandas().sort_values("h")
+    spark = texts.sparkSession
+    sample = first_windows(texts, shared).toPandas().sort_values("h")
     flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=EPOCHS, rate=0.01)
     part = 4096
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast(flat)
 
         def learn(batches):
-            pdf = pd.concat([b for b in batches] or [pd.DataFrame()])
-            if len(pdf):
-                moved = A.train(held.value, *as_arrays(pdf.sort_values("h")), epochs=1, rate=0.002).astype(np.float64) * len(pdf)
-                yield pd.DataFrame({"at": np.arange(0, len(moved), part), "n": len(pdf), "sums": [moved[i : i + part] for i in range(0, len(moved), part)]})
+            learner = A.Learner(held.value, rate=0.002)
+            for pool in pools(batches, shared.value):
+                learner.learn(*pool)
+            if learner.seen:
+                moved, n = learner.flat.astype(np.float64) * learner.seen, learner.seen
+                yield pd.DataFrame({"at": np.arange(0, len(moved), part), "n": n, "sums": [moved[i : i + part] for i in range(0, len(moved), part)]})
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"at": pdf["at"].iloc[:1], "w": [np.sum(np.stack(list(pdf["sums"])), axis=0) / pdf["n"].sum()]})
 
-        got = windows.mapInPandas(learn, "at long, n long, sums array<double>").groupBy("at").applyInPandas(mean, "at long, w array<double>")
+        got = texts.mapInPandas(learn, "at long, n long, sums array<double>").groupBy("at").applyInPandas(mean, "at long, w array<double>")
         got = got.toPandas().sort_values("at")
         if len(got):
             flat = np.concatenate(list(got["w"])).astype(np.float32)
@@ -286,7 +322,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = most_frequent(counts, HOT_WORDS).toPandas()
     vocabulary = build_vocabulary(counts, ranks)
     shared = spark.sparkContext.broadcast(vocabulary)
-    flat = train_weights(training_windows(docs, shared, id_col, text_col), vocabulary)
+    flat = train_weights(training_texts(docs, id_col, text_col), vocabulary, shared)
     model = spark.sparkContext.broadcast((flat, dict(zip(hot["word"], hot["n"].tolist()))))
 
     def score(batches):

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,17 @@ def test_lm_scores(spark):
     assert lmscore.score_texts(table(spark, [])).count() == 0
 
 
+def test_training_reads_every_subword(spark):
+    texts = [prose(5000), "", "one", "x" * 30000, prose(40)]
+    counts = lmscore.count_words(table(spark, list(enumerate(texts))), "doc_id", "text")
+    with open(lmscore.TOKENIZER, "rb") as f:
+        v = lmscore.build_vocabulary(counts, f.read())
+    encoder = lmscore.Encoder(v.ranks)
+    want = sorted(int(v.klass[i]) for t in texts for i in [x for w in lmscore.words_of(t) for x in encoder.encode(" " + w)] + [v.end])
+    got = np.concatenate([target.ravel() for _, _, target in lmscore.pools([pd.DataFrame({"text": texts})], v)])
+    assert sorted(got[got >= 0].tolist()) == want
+
+
 # classifiers
 
 
