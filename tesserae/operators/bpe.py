@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.storage import discard, materialise
+
 #: Special tokens in the order of their ids, then come 256 bytes, then the merges; the public split pattern.
 SPECIALS = (
     "<|endoftext|>", "<|unk|>", "<|pad|>", "<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>", "<|tool_call|>", "<|tool_result|>",
@@ -15,8 +18,10 @@ SPECIALS = (
 )
 EOS = 0
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-token types that merges are learnt from, at most: the most frequent.
-MAX_TYPES = 100_000
+#: Pre-token types that the driver merges by itself; where there are more, all of them stay on the executors.
+DRIVER_TYPES = 1_000_000
+#: Most frequent pairs that a pass over the executors' types sends to the driver.
+TOP_PAIRS = 2_000
 
 
 def pretokens(text: Column) -> Column:
@@ -28,38 +33,110 @@ def pretoken_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pretokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def learn_merges(counts: DataFrame, vocabulary: int = 32_000, max_types: int = MAX_TYPES) -> list[tuple[int, int]]:
+def learn_merges(counts: DataFrame, vocabulary: int = 32_000, driver_types: int = DRIVER_TYPES) -> list[tuple[int, int]]:
     """Pairs of ids in the order of their merging; the k-th makes id ``len(SPECIALS) + 256 + k``.
 
     The most frequent adjacent pair is merged, ties to the smaller pair, until the vocabulary is full or no pair is left.
-    Counting is distributed; the loop runs on the driver over a bounded number of types and updates only what a merge touches.
+    All types count.  Up to ``driver_types`` of them are merged on the driver, which updates only what a merge touches; more
+    stay on the executors, and each pass over them merges as many pairs as are sure to come next.
     """
-    types = counts.orderBy(F.col("n").desc(), "token").limit(max_types).collect()
+    counts, most = materialise(counts), vocabulary - len(SPECIALS) - 256
+    if counts.count() > driver_types:
+        return distributed_merges(counts, most)
+    return driver_merges([(row.token, row.n) for row in counts.toLocalIterator()], most)
+
+
+def driver_merges(types: list[tuple[str, int]], most: int) -> list[tuple[int, int]]:
+    """The first merges of some types with their counts; a heap has an entry for each count that a pair came to have."""
     base = len(SPECIALS)
-    words = [([base + b for b in row.token.encode("utf-8")], row.n) for row in types]
+    words = [([base + b for b in token.encode("utf-8")], n) for token, n in types]
     pairs: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = {}
     for k, (ids, n) in enumerate(words):
         for pair in zip(ids, ids[1:]):
             pairs[pair] += n
             where.setdefault(pair, set()).add(k)
+    heap = [(-n, pair) for pair, n in pairs.items()]
+    heapify(heap)
     merges: list[tuple[int, int]] = []
-    while base + 256 + len(merges) < vocabulary and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] <= 0:
-            break
+    while len(merges) < most and heap:
+        n, best = heappop(heap)
+        if -n != pairs.get(best, 0) or not n:
+            continue  # the count has changed since
         new = base + 256 + len(merges)
         merges.append(best)
+        moved: Counter = Counter()
         for k in where.pop(best):
             ids, n = words[k]
+            after = merge(ids, best, new)
+            if len(after) == len(ids):
+                continue  # an earlier merge took the pair apart
             for pair in zip(ids, ids[1:]):
-                pairs[pair] -= n
-            ids = merge(ids, best, new)
-            words[k] = (ids, n)
-            for pair in zip(ids, ids[1:]):
-                pairs[pair] += n
+                moved[pair] -= n
+            for pair in zip(after, after[1:]):
+                moved[pair] += n
                 where.setdefault(pair, set()).add(k)
-        pairs = +pairs
+            words[k] = (after, n)
+        for pair, n in moved.items():
+            if n:
+                pairs[pair] += n
+                if pairs[pair] > 0:
+                    heappush(heap, (-pairs[pair], pair))
+                else:
+                    del pairs[pair]
+    return merges
+
+
+def sure_merges(top: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """The longest beginning of the pairs in their order that merging one by one would choose too.
+
+    Merging (a, b) changes only pairs that end in a or begin with b, and what it makes, (x, new) or (new, y), is no more
+    frequent than the (x, a) or (b, y) it comes from.  So up to the first pair that an earlier one changes nothing can come
+    between; a pair of equal ids changes itself and ends the row.
+    """
+    sure: list[tuple[int, int]] = []
+    firsts, seconds = set(), set()
+    for a, b in top[:most]:
+        if a in seconds or b in firsts:
+            break
+        sure.append((a, b))
+        if a == b:
+            break
+        firsts.add(a)
+        seconds.add(b)
+    return sure
+
+
+def distributed_merges(counts: DataFrame, most: int) -> list[tuple[int, int]]:
+    """What ``driver_merges`` gives, with all types on the executors: a pass counts pairs, another table gets their merges."""
+    base, merges = len(SPECIALS), []
+
+    def split(batches):
+        for batch in batches:
+            yield pd.DataFrame({"ids": [[base + b for b in t.encode("utf-8")] for t in batch["token"]], "n": batch["n"]})
+
+    words = materialise(counts.mapInPandas(split, "ids array<int>, n long").where("size(ids) > 1"))
+    while len(merges) < most:
+        pairs = words.select("n", F.explode(F.expr("transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as a, ids[i] as b))")).alias("p"))
+        top = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b").limit(TOP_PAIRS).collect()
+        if not top:
+            break
+        sure = sure_merges([(r.a, r.b) for r in top], most - len(merges))
+
+        def apply(batches, sure=tuple(sure), new=base + 256 + len(merges)):
+            made = {pair: new + k for k, pair in enumerate(sure)}
+            for batch in batches:
+                rows = []
+                for ids in batch["ids"]:
+                    ids = list(map(int, ids))
+                    for pair in sorted(made.keys() & set(zip(ids, ids[1:])), key=made.get):
+                        ids = merge(ids, pair, made[pair])
+                    rows.append(ids)
+                yield pd.DataFrame({"ids": rows, "n": batch["n"]})
+
+        merges += sure
+        before, words = words, materialise(words.mapInPandas(apply, "ids array<int>, n long").where("size(ids) > 1"))
+        discard(before)
     return merges
 
 

@@ -212,14 +212,14 @@ def letter_run_counts(spark, d):
 
 @query
 def bpe_merges(spark, d):
-    merges = bpe.learn_merges(bpe.pretoken_counts(docs_of(spark, d)), vocabulary=567)
+    merges = bpe.learn_merges(bpe.pretoken_counts(docs_of(spark, d)))
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank long, left long, right long")
 
 
 @query
 def bpe_pack(spark, d):
     docs = docs_of(spark, d)
-    merges = bpe.learn_merges(bpe.pretoken_counts(docs), vocabulary=567)
+    merges = bpe.learn_merges(bpe.pretoken_counts(docs))
     return packing.pack(bpe.encode(docs.select("doc_id", "text"), merges), 2048).select("chunk", packing.shard_number(F.col("chunk")).alias("shard"), F.md5(F.array_join("tokens", ",").cast("binary")).alias("digest"))
 
 

@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +152,30 @@ def test_bpe_round_trip(spark):
     assert ids[3][0] == 0
 
 
+def test_merges_of_all_types(spark):
+    rng = random.Random(2)
+    counts = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))): rng.randint(1, 4) for _ in range(300)} | {"aaaaaaa": 9, "éé": 2}
+    words, want = {w: [len(bpe.SPECIALS) + b for b in w.encode()] for w in counts}, []
+    while len(want) < 150:
+        pairs = Counter()
+        for w, ids in words.items():
+            for pair in zip(ids, ids[1:]):
+                pairs[pair] += counts[w]
+        want.append(min(pairs, key=lambda p: (-pairs[p], p)))
+        words = {w: bpe.merge(ids, want[-1], len(bpe.SPECIALS) + 255 + len(want)) for w, ids in words.items()}
+    rows = spark.createDataFrame(list(counts.items()), "token string, n long")
+    vocabulary = len(bpe.SPECIALS) + 256 + 150
+    assert bpe.learn_merges(rows, vocabulary) == want
+    assert bpe.learn_merges(rows, vocabulary, driver_types=0) == want
+
+
+def test_no_type_is_left_out(spark):
+    rows = spark.range(100_001).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("token"), F.lit(2).cast("long").alias("n"))
+    rare = spark.createDataFrame([("zq", 1)], "token string, n long")
+    q = len(bpe.SPECIALS) + ord("q")
+    assert any(b == q for _, b in bpe.learn_merges(rows.where("id < 100000").unionByName(rare), 130_000))
+
+
 def test_schedule_and_sizes(spark):
     steps = [0, 250, 500, 2491, 4482, 9000]
     got = column(spark, steps, lambda s: numeric.lr_schedule(s, 500, 4482, 6e-4, 6e-5), "long")
