@@ -144,7 +144,11 @@ def turns(spark, d) -> DataFrame:
 
 @query
 def format_chat(spark, d):
-    return turns(spark, d).select("conv_id", records.format_chat(F.col("a"), F.col("b")).alias("text"))
+    """The first turn, and all later ones in turn order as the chat."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("None")))
+    told = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"].alias("t"))
+    later = F.when(F.size("t") > 1, F.array_join(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), "\n\n"))
+    return told.select("conv_id", records.format_chat(F.get("t", F.lit(0)), later).alias("text"))
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.prefix import prefix_sum
 from tesserae.functions.text import alnum_count, py_split, py_splitlines, py_strip
 from tesserae.operators import audit, bpe, dedup, fim, gates, housekeeping, numeric, packing
+from tesserae.plans import catalogue
 from tesserae.plans.corpus import build_corpus
 from tesserae.sources import records
 
@@ -101,6 +102,13 @@ def test_formatters(spark):
     assert pick(records.infill_prompt(s("p"), s("q"))) == "<|fim_prefix|>p<|fim_suffix|>q<|fim_middle|>"
 
 
+def test_chat_has_every_turn(spark, tmp_path):
+    rows = [(1, t, f"t{t}") for t in (3, 0, 2, 11, 1)] + [(2, 0, "alone"), (3, 0, "a"), (3, 1, "b ")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.text for r in catalogue.QUERIES["format_chat"](spark, str(tmp_path)).collect()}
+    assert got == {1: "t0\n\nt1\n\nt2\n\nt3\n\nt11", 2: "alone\n\nNone", 3: "a\n\nb"}
+
+
 def test_registry(spark):
     names = spark.createDataFrame([("code-contests",), ("nobody",)], "name string")
     got = {r.name: r.format for r in records.registry_lookup(names).collect()}
