@@ -308,7 +308,7 @@ def second_half(spark, d):
 
 @query
 def seeded_shuffle(spark, d):
-    return docs_of(spark, d).select("doc_id", audit.seeded_order(F.col("doc_id"), 7).alias("place")).orderBy("place").limit(100)
+    return docs_of(spark, d).select("doc_id", audit.seeded_order(F.col("doc_id"), 7).alias("place")).orderBy("place")
 
 
 @query

@@ -1,5 +1,6 @@
 """Micro-cases with hand-derived results, and properties."""
 
+import hashlib
 import json
 import math
 import random
@@ -109,6 +110,13 @@ def test_chat_has_every_turn(spark, tmp_path):
     assert got == {1: "t0\n\nt1\n\nt2\n\nt3\n\nt11", 2: "alone\n\nNone", 3: "a\n\nb"}
 
 
+def test_shuffle_has_every_document(spark, tmp_path):
+    docs(spark, ["x"] * 150).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["seeded_shuffle"](spark, str(tmp_path)).collect()
+    places = {i: hashlib.md5(b"7:%d" % i).hexdigest() for i in range(150)}
+    assert [tuple(r) for r in got] == sorted(places.items(), key=lambda x: x[1])
+
+
 def test_registry(spark):
     names = spark.createDataFrame([("code-contests",), ("nobody",)], "name string")
     got = {r.name: r.format for r in records.registry_lookup(names).collect()}
