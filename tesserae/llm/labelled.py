@@ -13,8 +13,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """(doc_id, text, label): about ``max_rows`` ids of each class at most, out of the rows that are not held out.
 
     Held out is every id whose crc32 as text is 0 modulo ``folds``.  Null labels are no labels; of several labels of one id
-    the largest holds; the ids with the smallest hashes are taken.  The sampled ids, bounded by ``2 * max_rows``, are
-    broadcast, so texts are not shuffled.
+    the largest holds, and of several texts the smallest; the ids with the smallest hashes are taken.  The sampled ids,
+    bounded by ``2 * max_rows``, are broadcast, so only their texts are shuffled.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(id_crc() % folds != 0)
@@ -22,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     taken = [hash_sample(by_hash.where(F.col("label") == c), "h", max_rows).select("doc_id", "label") for c in (0, 1)]
     ids = materialise(taken[0].unionByName(taken[1]))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def logistic(x, y, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:

@@ -382,6 +382,67 @@ def test_kneser_ney_sums_to_one(spark):
         assert model.unigram[c][words].sum() + unseen * model.unigram[c][0] == pytest.approx(1, abs=1e-6)
 
 
+def test_kneser_ney_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "RARE", 2)
+    monkeypatch.setattr(toxicity, "PAIR_RARE", 3)
+    rng = np.random.default_rng(6)
+    kinds = prose(25, rng).split()
+    texts = [(" ".join(rng.choice(kinds, 12)), int(k % 3 == 0)) for k in range(60)] + [("vile thing vile", 1), ("", 0)]
+    model = toxicity.fit(spark.createDataFrame(texts, "text string, label int"))
+    tri = {(c, *t) for x, c in texts for w in [["", *x.split()]] for t in zip(["", *w], w, w[1:])}
+    pair = {c: Counter((h, w) for k, _, h, w in tri if k == c) for c in (0, 1)}
+    word = {c: Counter(w for _, w in pair[c]) for c in (0, 1)}
+    vocabulary = set(word[0]) | set(word[1])
+    size = {c: sum(word[c].values()) for c in (0, 1)}
+
+    def discount(counts):
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return ones / max(1, ones + 2 * twos)
+
+    listed = {w for w in vocabulary if word[0][w] + word[1][w] > 2}
+    linked = {p for p in set(pair[0]) | set(pair[1]) if pair[0][p] + pair[1][p] > 3}
+    shared = lambda w: (min(word[c][w] / size[c] for c in (0, 1)) * sum(size.values()) / 2 if w in listed else 0) + 1
+    shared_sum = sum(map(shared, vocabulary)) + 1
+
+    def unigram(c, w):
+        own = {x: max(0, word[c][x] - discount(word[c])) for x in listed}
+        whole = size[c] + len(vocabulary) + 1
+        return (own.get(w, 0) + (whole - sum(own.values())) * (shared(w) if w in vocabulary else 1) / shared_sum) / whole
+
+    def bigram(c, h, w):
+        kept = {p: max(0, n - discount(pair[c])) for p, n in pair[c].items() if p in linked and p[0] == h}
+        if not any(p[0] == h for p in linked):
+            return unigram(c, w)
+        whole = sum(n for p, n in pair[c].items() if p[0] == h) + 100
+        return (kept.get((h, w), 0) + (whole - sum(kept.values())) * unigram(c, w)) / whole
+
+    for text in ("vile thing vile", texts[0][0], f"{kinds[0]} unheard {kinds[1]}"):
+        words = text.split()
+        want = [[bigram(c, h, w) for h, w in zip(["", *words], words)] for c in (0, 1)]
+        assert model.probabilities([text])[0] == pytest.approx(np.array(want), rel=1e-9)
+        ratio = sum(np.log(0.98 + 0.02 * t / o) for o, t in zip(*want)) / (len(words) + 20)
+        assert model.ratios([text])[0] == pytest.approx(ratio)
+    assert model.ratios(["", "..."]).tolist() == [0, 0]
+    for h in ("", kinds[0], "unheard"):
+        assert sum(bigram(1, h, w) for w in vocabulary | {"unheard"}) == pytest.approx(1)
+
+
+def test_copies_do_not_make_a_word_toxic(spark):
+    rng = np.random.default_rng(7)
+    rows, labels, _ = labelled(spark, 400)
+    copied = prose(40, rng)
+    rows += [(1000 + i, f"{copied} vileword copy{i}") for i in range(150)] + [(2000 + i, f"{prose(20, rng)} {copied[:60]}") for i in range(20)]
+    labels = labels.unionByName(spark.createDataFrame([(1000 + i, 1, 1, 1) for i in range(150)], labels.schema))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(table(spark, rows), labels).collect()}
+    assert sum(got[2000 + i] for i in range(20)) <= 2
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    rows, labels, _ = labelled(spark, 50)
+    sample = toxicity.labelled_sample(table(spark, rows + [(1, f"other {i}") for i in range(500)]), labels, "toxic", 40)
+    assert sample.count() == sample.select("doc_id").distinct().count()
+
+
 def test_quality(spark):
     rows, labels, truth = labelled(spark)
     edge = [(i + 5000 if i is not None else None, *x) for i, *x in EDGE]
