@@ -8,6 +8,8 @@ sampled tokens; the runs together reach the target recall.  Candidates become ex
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -20,15 +22,32 @@ from tesserae.storage import keep_ids, materialise, small_side, split_join
 
 #: Words of a shingle and least similarity.
 WORDS, SIMILAR = 5, 0.8
-#: Runs, tokens sampled at a node, levels of the first descent and of each further one, and further descents.
-#: A pair of similarity 0.8 shares 8/9 of its tokens; with 1.6 tokens a level it shares a path of three with probability
-#: 0.61 a run, so eight runs miss it with probability 0.0005.
-RUNS, FANOUT, LEVELS, DEEPER, DESCENTS = 8, 1.6, 3, 2, 3
+#: Tokens sampled at a node, levels of the first descent and of each further one, and further descents.
+FANOUT, LEVELS, DEEPER, DESCENTS = 1.6, 3, 2, 3
+#: Recall that the runs reach for the pairs that are hardest to find.
+TARGET = 0.98
+
+
+def runs_for(target: float) -> int:
+    """Runs that find a pair at the least similarity with probability ``target`` or more, in the worst case.
+
+    That is a set and one that it contains, which sample ``FANOUT * SIMILAR`` common tokens a node, in nodes so crowded that
+    they are split in every descent.  A run finds the pair if that branching process lives through all levels.
+    """
+    alive = 1.0
+    for _ in range(LEVELS + DEEPER * DESCENTS):
+        alive = 1 - math.exp(-FANOUT * SIMILAR * alive)
+    return math.ceil(math.log(1 - target) / math.log(1 - alive))
+
+
+RUNS = runs_for(TARGET)
 #: Sets that a tree node may hold to be compared there.
 BUCKET = 64
-#: Sketch shares from which a set is linked to the head of its tree node, and from which it leaves the tree there.  A set
-#: close to the head, at 0.6 or more, and one similar to it, at 0.8, leave the latter at 0.4 or more from the head.
-NEAR, CLOSE = 0.2, 0.75
+#: Sketch shares from which a set is linked to a head of its tree node, and from which it leaves the tree there.  A set
+#: close to a head, at 0.55 or more, and one similar to it, at 0.8, leave the latter at 0.35 or more from the head.
+NEAR, CLOSE = 0.2, 0.7
+#: A tree node that holds more than this part of all paths is hot.
+HOT_SHARE = 4000
 #: Bins of the sketch that compares sets of a bucket; rows and tokens of a block in the exact comparison.
 BINS, BLOCK_ROWS, BLOCK_TOKENS = 64, 2048, 2_000_000
 
@@ -101,12 +120,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             sets = [token_set(w) for w in batch["words"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].to_numpy(), "node": pd.array([set_digest(t) if len(t) else None for t in sets], dtype="Int64"), "size": [len(t) for t in sets],
+                "doc_id": batch["doc_id"], "node": pd.array([set_digest(t) if len(t) else None for t in sets], dtype="Int64"), "size": [len(t) for t in sets],
                 "paths": [descend(t, ROOTS, LEVELS).view(np.int64) if len(t) else np.zeros(0, np.int64) for t in sets], "sketch": [sketch(t) for t in sets],
             })
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_hashes(text_or_empty(text_col)).alias("words"))
-    return rows.mapInPandas(build, "doc_id long, node long, size int, paths array<long>, sketch array<int>")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), word_hashes(text_or_empty(text_col)).alias("words"))
+    built = rows.mapInPandas(build, "doc_id string, node long, size int, paths array<long>, sketch array<int>")
+    return built.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,7 +136,7 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             sets = [token_set(w) for w in batch["words"]]
             yield pd.DataFrame({"node": [set_digest(t) for t in sets], "tokens": [t.view(np.int64) for t in sets]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     words = keep_ids(texts, wanted, "doc_id", "left_semi").select(word_hashes(F.col("text")).alias("words"))
     found = words.where(F.size("words") > 0).mapInPandas(build, "node long, tokens array<long>")
     return found.join(small_side(wanted.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
@@ -157,48 +177,112 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def shares(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Share of the bins used by either of two sketches that agree, row by row."""
+    return ((one == two) & (one != 0)).sum(axis=1) / np.maximum(((one != 0) | (two != 0)).sum(axis=1), 1)
+
+
+def sketch_rows(column) -> np.ndarray:
+    return np.stack([np.asarray(x) for x in column]) if len(column) else np.zeros((0, BINS), np.int32)
+
+
 def judge_heads(batches):
-    """For pairs of a set and the head of a node that holds it: whether their sketches link them, and whether they are close."""
+    """For pairs of a set and the head of nodes that hold it: whether their sketches link them, and whether they are close."""
     for batch in batches:
-        a, b = (np.stack([np.asarray(x) for x in batch[c]]) if len(batch) else np.zeros((0, BINS), np.int32) for c in ("sketch", "head_sketch"))
-        share = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
-        out = pd.DataFrame({"node": batch["node"], "head": batch["head"], "close": share >= CLOSE})
-        yield out[share >= NEAR]
+        share = shares(sketch_rows(batch["sketch"]), sketch_rows(batch["head_sketch"]))
+        yield pd.DataFrame({"node": batch["node"], "head": batch["head"], "paths": batch["paths"], "near": share >= NEAR, "close": share >= CLOSE})
+
+
+def hot_heads(hot: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, ...]:
+    """Of the hot tree nodes, which are fewer than ``HOT_SHARE``: sorted paths, places of their two heads, heads, sketches."""
+    paths = hot.select("path", "low", "high").toPandas().sort_values("path")
+    some = materialise(hot.select(F.explode(F.array("low", "high")).alias("node")).distinct())
+    heads = nodes.select("node", "sketch").join(F.broadcast(some), "node").toPandas().sort_values("node")
+    ids = heads["node"].to_numpy(dtype=np.int64)
+    return paths["path"].to_numpy(dtype=np.int64), np.searchsorted(ids, paths[["low", "high"]].to_numpy(dtype=np.int64)), ids, sketch_rows(heads["sketch"])
+
+
+def part_with_hot(held, last: bool):
+    """A function that takes sets (node, paths, sketch) out of hot tree nodes.
+
+    It gives the heads that a set is near, the hot paths that it goes down from as it is close to neither head there, and its
+    other paths.  In the last descent the former become edges to the smaller head instead.
+    """
+    def part(batches):
+        hot, heads_at, heads, head_sketch = held.value
+        for batch in batches:
+            lists = [np.asarray(x) for x in batch["paths"]]
+            of, path = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+            at = np.minimum(np.searchsorted(hot, path), max(0, len(hot) - 1))
+            is_hot = hot[at] == path if len(hot) else np.zeros(len(path), bool)
+            r, k = of[is_hot], at[is_hot]
+            pair, back = np.unique(r[:, None] * max(1, len(heads)) + heads_at[k], return_inverse=True)
+            row, head = pair // max(1, len(heads)), pair % max(1, len(heads))
+            S, share = sketch_rows(batch["sketch"]), np.zeros(len(pair))
+            for i in range(0, len(pair), 16384):
+                share[i : i + 16384] = shares(S[row[i : i + 16384]], head_sketch[head[i : i + 16384]])
+            stays = ~(share >= CLOSE)[back.reshape(len(r), 2)].any(axis=1)
+            near = share >= NEAR
+            if last:
+                near[back.reshape(len(r), 2)[stays, 0]] = True
+            deal = lambda rows, values: np.split(values, np.searchsorted(rows, np.arange(1, len(lists)))) if len(lists) else []
+            down = np.zeros(0, np.int64) if last else path[is_hot][stays]
+            yield pd.DataFrame({"node": batch["node"], "heads": deal(row[near], heads[head[near]]), "down": deal(r[stays][: len(down)], down), "rest": deal(of[~is_hot], path[~is_hot])})
+
+    return part
+
+
+def star_edges(near: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect each node with its ``heads``: one from its smallest head to it, and different ones from that
+    head to the others, which are few as many nodes have the same heads."""
+    first = F.array_min("heads")
+    star = F.transform(F.array_sort("heads"), lambda h, i: F.struct(first.alias("a"), F.when(i == 0, F.col("node")).otherwise(h).alias("b")))
+    return materialise(near.select(F.explode(star).alias("e")).select("e.a", "e.b").distinct())
 
 
 def candidate_edges(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) that connect all sets which share a path and may be similar; ``nodes`` holds node, doc_id, paths, sketch.
 
-    At a tree node with many sets, each is first compared with the node's smallest, its head.  Those near it are linked to it,
-    and those close to it need not go further down from there: whatever is similar to them is near the head, and so linked to
-    it as well.  So a large group of near copies leaves the tree at once, and only the others are split further.
+    At a tree node with many sets, each is first compared with the node's smallest and largest, its heads.  Those near one
+    are linked to it, and those close to one need not go further down from there: whatever is similar to them is near that
+    head, and so linked to it as well.  So a large group of near copies leaves the tree at once, and only the others are split
+    further.  The heads of hot nodes, fewer than ``HOT_SHARE``, are sent to all sets; the other nodes meet theirs in shuffles in
+    which no path has more than a ``HOT_SHARE``-th of the rows.
     """
-    frontier = nodes.select("node", F.explode("paths").alias("path"))
-    edges = None
+    sets, edges = nodes.select("node", "paths", "sketch"), None
+    add = lambda found, more: more if found is None else found.unionByName(more)
     for descent in range(DESCENTS + 1):
-        frontier = materialise(frontier)
-        total = frontier.count()
-        counts = materialise(frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"))
+        last = descent == DESCENTS
+        each = sets.select("node", F.explode("paths").alias("path"))
+        counts = materialise(each.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+        bound = max(BUCKET, sets.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0))).first()[0] // HOT_SHARE)
+        held = nodes.sparkSession.sparkContext.broadcast(hot_heads(counts.where(F.col("n") > bound), nodes))
+        parted = materialise(sets.mapInPandas(part_with_hot(held, last), "node long, heads array<long>, down array<long>, rest array<long>"))
+        edges = add(edges, star_edges(parted.select("node", "heads")))
+        frontier = materialise(parted.select("node", F.explode("rest").alias("path")))
+
         small = frontier.join(counts.where(F.col("n") <= BUCKET).select("path").hint("merge"), "path")
         buckets = small.groupBy("path").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
         members = buckets.select(F.col("nodes"), F.explode("nodes").alias("node")).join(nodes.select("node", "sketch").hint("merge"), "node")
         filled = members.groupBy("nodes").agg(F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("m"))
         filled = filled.select(F.col("m.node").alias("nodes"), F.col("m.sketch").alias("sketches"))
-        found = materialise(filled.mapInPandas(link_bucket, "a long, b long").distinct())
-        edges = found if edges is None else edges.unionByName(found)
-        large = counts.where(F.col("n") > BUCKET)
-        if not large.limit(1).count():
-            return edges
-        big = materialise(split_join(frontier, large, "path", "n", total).where(F.col("node") != F.col("head")).select("node", "path", "head"))
-        pairs = big.select("node", "head").distinct().join(nodes.select("node", "sketch").hint("merge"), "node")
-        heads = materialise(large.select("head").distinct().join(nodes.select(F.col("node").alias("head"), F.col("sketch").alias("head_sketch")), "head"))
-        judged = materialise(pairs.join(small_side(heads), "head").mapInPandas(judge_heads, "node long, head long, close boolean"))
-        edges = edges.unionByName(judged.select(F.col("head").alias("a"), F.col("node").alias("b")))
-        rest = big.join(judged.where("close").select("node", "head"), ["node", "head"], "left_anti")
-        if descent == DESCENTS:
+        edges = edges.unionByName(materialise(filled.mapInPandas(link_bucket, "a long, b long").distinct()))
+
+        large = counts.where((F.col("n") > BUCKET) & (F.col("n") <= bound))
+        below = frontier.join(large.hint("merge"), "path").groupBy("node", "low", "high").agg(F.collect_list("path").alias("paths"))
+        pairs = materialise(below.select("node", F.explode(F.array("low", "high")).alias("head"), "paths"))
+        heads = materialise(pairs.select("head").distinct().join(nodes.select(F.col("node").alias("head"), F.col("sketch").alias("head_sketch")), "head"))
+        compared = pairs.join(nodes.select("node", "sketch").hint("merge"), "node").join(small_side(heads), "head")
+        judged = materialise(compared.mapInPandas(judge_heads, "node long, head long, paths array<long>, near boolean, close boolean"))
+        edges = edges.unionByName(star_edges(judged.where("near").groupBy("node").agg(F.collect_set("head").alias("heads"))))
+        stay = judged.groupBy("node", "paths").agg(F.max("close").alias("close"), F.min("head").alias("head")).where("not close")
+        if last:
             # sets that share this many sampled tokens are candidates of each other; the exact comparison decides
-            return edges.unionByName(rest.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-        seeds = materialise(rest.groupBy("node").agg(F.collect_list("path").alias("seeds")))
+            return edges.unionByName(stay.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        down = parted.where(F.size("down") > 0).select("node", "down").unionByName(stay.select("node", F.col("paths").alias("down")))
+        seeds = materialise(down.groupBy("node").agg(F.flatten(F.collect_list("down")).alias("seeds")))
+        if not seeds.limit(1).count():
+            return edges
         texts = tokens_of(docs, materialise(seeds.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")), id_col, text_col)
 
         def deeper(batches):
@@ -206,7 +290,8 @@ def candidate_edges(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: st
                 kids = [descend(np.asarray(t).view(np.uint64), np.asarray(p).view(np.uint64), DEEPER).view(np.int64) for t, p in zip(batch["tokens"], batch["seeds"])]
                 yield pd.DataFrame({"node": batch["node"], "paths": kids})
 
-        frontier = texts.join(seeds, "node").mapInPandas(deeper, "node long, paths array<long>").select("node", F.explode("paths").alias("path"))
+        found = texts.join(seeds, "node").mapInPandas(deeper, "node long, paths array<long>")
+        sets = materialise(found.join(nodes.select("node", "sketch"), "node"))
 
 
 def overlap_counts(left: list, right: list, same: bool) -> np.ndarray:
