@@ -62,8 +62,9 @@ def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     ).where("seed is not null")
 
 
-def seed_filter(seeds: DataFrame) -> tuple[bytes, int] | None:
-    """A bit per seed hash value (one byte each here) of bounded size; None where there are too many seeds for it to help."""
+def seed_filter(seeds: DataFrame) -> tuple[DataFrame, int] | None:
+    """A mark per seed hash value (a byte each) of bounded size, as a table of one row; None where there are too many seeds
+    for it to help."""
     size = 1 << 16
     n = seeds.count()
     while size < 16 * n and size < FILTER_BITS:
@@ -71,9 +72,9 @@ def seed_filter(seeds: DataFrame) -> tuple[bytes, int] | None:
     if n > FILTER_BITS // 8:
         return None
     marks = bytearray(size)
-    for (slot,) in seeds.select(F.pmod("seed", F.lit(size)).alias("s")).distinct().toLocalIterator():
+    for (slot,) in seeds.select(F.pmod("seed", F.lit(size)).alias("s")).distinct().collect():  # FILTER_BITS / 8 at most
         marks[slot] = 1
-    return bytes(marks), size
+    return materialise(seeds.sparkSession.createDataFrame([(marks,)], "marks binary")), size
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -88,23 +89,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     seeds = materialise(item_seeds(benchmark, item_col, item_text))
     known = seed_filter(seeds)
     lengths = sorted(r.length for r in seeds.select("length").distinct().collect()) or [SPAN]
-    hashed = docs.select(F.col(id_col).alias("doc_id"), token_hashes(text_or_empty(text_col)).alias("h"))
+    table, size = known or (None, 1)
+    marks = table.scalar() if known else F.lit(None).cast("binary")  # a subquery, so the plan's text does not hold the bytes
+    hashed = docs.select(F.col(id_col).alias("doc_id"), token_hashes(text_or_empty(text_col)).alias("h"), marks.alias("marks"))
 
-    def passes(value: Column) -> Column:
-        if known is None:
-            return value.isNotNull()
-        marks, size = known
-        return F.substr(F.lit(marks), (F.pmod(value, F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
-
-    def windows(h: Column) -> Column:
-        hit = F.filter(F.transform(starts(h), lambda i: F.struct(i.alias("pos"), F.filter(F.array(*(seed(h, i, n) for n in lengths)), passes).alias("seeds"))), lambda w: F.size(w["seeds"]) > 0)
+    def windows(h: Column, marks: Column) -> Column:
+        found = (lambda v: F.substr(marks, (F.pmod(v, F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")) if known else (lambda v: v.isNotNull())
+        hit = F.filter(F.transform(starts(h), lambda i: F.struct(i.alias("pos"), F.filter(F.array(*(seed(h, i, n) for n in lengths)), found).alias("seeds"))), lambda w: F.size(w["seeds"]) > 0)
         first = lambda w: F.greatest(w["pos"] - CONTEXT, F.lit(1))
         return F.transform(hit, lambda w: F.struct(
             w["pos"].alias("pos"), w["seeds"].alias("seeds"), first(w).alias("from"), F.size(h).alias("size"),
             F.slice(h, first(w), w["pos"] + SPAN + CONTEXT - first(w)).alias("near"),
         ))
 
-    candidates = hashed.select("doc_id", F.explode(let(F.col("h"), windows)).alias("w")).select(
+    candidates = hashed.select("doc_id", F.explode(let(F.col("marks"), lambda m: let(F.col("h"), lambda h: windows(h, m)))).alias("w")).select(
         "doc_id", F.col("w.pos").alias("pos"), F.col("w.from").alias("from"), F.col("w.size").alias("size"), F.col("w.near").alias("near"),
         F.explode("w.seeds").alias("seed"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORD, text_or_empty
+from tesserae.llm.common import WORD
 from tesserae.storage import materialise, small_side
 
 #: Hex digits of the shuffle digest that cut a source into blocks of rows, so that no window holds a whole source.
@@ -31,6 +31,11 @@ def reverse_bits(value: Column, bits: int) -> Column:
     return F.shiftrightunsigned(value, 64 - bits)
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_key(column: str = "source") -> Column:
     """A join key that keeps the null source apart from every text."""
     return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit("-"))
@@ -42,7 +47,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
+            word_count(F.col(text_col)).alias("size"),
             F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("h"),
         ).withColumn("skey", source_key()).withColumn("part", F.substring("h", 1, BLOCK_DIGITS))
     )

@@ -497,3 +497,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(times[i] == (1 if s == 0 else max(1, int(t / s + 0.5)) if t else 0) for i, (t, s) in taken.items())
     sharded = stages["sharding"](spark, mixed, d)
     assert sharded.count() == mixed.count() == corpus_pipeline.run(spark, d).count()
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """Half the rows have no id; ids repeat with different texts; one row is repeated whole; texts are null, empty or long."""
+    rows, labels, _ = labelled(spark, 60)
+    item, copied = prose(30), prose(50)
+    rows = [(i if i % 2 else None, t) for i, t in rows]
+    extra = [(1, prose(40)), (1, f"{prose(20)} {item}"), (None, f"{item} {prose(20)}"), (None, copied), (None, copied), (2000, copied), (3000, prose(9)), (3000, prose(9)), (7, None), (7, ""), (7, ""), (None, "long " * 30000, None)]
+    extra += [extra[6]]
+    d = str(tmp_path)
+    docs = table(spark, rows + extra).select(*corpus_pipeline.COLUMNS)
+    docs.write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    listed = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    one = corpus_pipeline.materialise(stages["jaccard_join"](spark, docs, d))
+    want = set(listed(docs)) - {(None, copied)}  # the copy with an id stays; every other text is of its own kind
+    assert listed(one) == Counter(want)
+    pure = corpus_pipeline.materialise(stages["decontamination"](spark, one, d))
+    assert set(listed(pure)) == {(i, t) for i, t in want if item not in (t or "")}
+    mixed = listed(stages["mixing"](spark, pure, d))
+    assert set(mixed) <= set(listed(pure)) and {(7, None), (7, "")} <= set(mixed) and max(mixed.values()) <= 3
+    assert any(i is None for i, _ in mixed) and corpus_pipeline.run(spark, d).count() > 0
+    empty = docs.where("false")
+    assert all(stage(spark, empty, d).count() == 0 for _, stage in corpus_pipeline.STAGES)
