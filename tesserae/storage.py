@@ -18,9 +18,11 @@ BROADCAST_ROWS = 400_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; a cluster has to name one, as its nodes do not share local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = LOCAL_DIR
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
