@@ -55,11 +55,12 @@ class Vocabulary:
     class_log_share: np.ndarray
     pairs: np.ndarray
 
-    def after(self) -> np.ndarray:
-        """Log probability within its class of each input id (column) after each input id (row).
+    def after(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability within its class of each input id (column) after each input id (row), and the log share of each
+        class (column) that is backed off after each input id (row).
 
-        Its frequency after that id is backed off to its frequency in the class; the rest, which shares the last input id,
-        keeps the latter.
+        A subword's frequency after that id is backed off to its frequency in the class; subwords that share the last input
+        id are never counted after another, so theirs is the latter times the share.  So each class sums to one.
         """
         known = np.flatnonzero(self.input_id < A.INPUTS - 1)
         column, klass = self.input_id[known], np.zeros(A.INPUTS, dtype=np.int64)
@@ -74,6 +75,13 @@ class Vocabulary:
         for row in range(A.INPUTS):
             out[row] = alone + share[row, klass]
         out[before, to] = np.log((n + BACKOFF * np.exp(alone[to])) / (seen[before, klass[to]] + BACKOFF))
+        return out, share.astype(np.float32)
+
+    def inside(self, stream: np.ndarray, after: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Log probability within its class of each subword of a stream after the one before it; the first has none before."""
+        inputs, klass = self.input_id[stream], self.klass[stream]
+        out = self.log_in_class[stream]
+        out[1:] = np.where(inputs[1:] < A.INPUTS - 1, after[inputs[:-1], inputs[1:]], out[1:] + share[inputs[:-1], klass[1:]])
         return out
 
 
@@ -328,7 +336,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(batches):
         flat, known = model.value
         v, scorer, encoder = shared.value, A.Scorer(flat), Encoder(shared.value.ranks)
-        after = v.after()
+        after, share = v.after()
         log_known, hashes = np.zeros(0), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for first in range(0, len(batch), 256):
@@ -340,7 +348,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 new = encoder.words[len(log_known) :]
                 log_known = np.append(log_known, [np.log10(known[w] + 1) if w in known else -1.0 for w in new])
                 hashes = np.append(hashes, np.array([0 if w in known else word_hash(w) for w in new], dtype=np.int64))
-                yield rows_of(part["doc_id"], found, v, after, scorer, encoder, log_known, hashes, known.get("", 0))
+                yield rows_of(part["doc_id"], found, v, (after, share), scorer, encoder, log_known, hashes, known.get("", 0))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
@@ -357,7 +365,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def rows_of(ids, found: list[np.ndarray], v: Vocabulary, after: np.ndarray, scorer: A.Scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
+def rows_of(ids, found: list[np.ndarray], v: Vocabulary, after: tuple[np.ndarray, np.ndarray], scorer: A.Scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
     """The result rows of some texts, given as arrays of remembered words; all their blocks are scored together."""
     pieces, begin = encoder.arrays()
     streams, hot_known, hot_sum, cold = [], [], [], []
@@ -373,9 +381,7 @@ def rows_of(ids, found: list[np.ndarray], v: Vocabulary, after: np.ndarray, scor
     blocks = -(-(lengths - 1) // A.STRIDE)
     of = np.repeat(np.arange(len(streams)), blocks)
     start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * A.STRIDE
-    inputs, klass = v.input_id[stream], v.klass[stream]
-    inside = v.log_in_class[stream]
-    inside[1:] = np.where(inputs[1:] < A.INPUTS - 1, after[inputs[:-1], inputs[1:]], inside[1:])
+    inputs, klass, inside = v.input_id[stream], v.klass[stream], v.inside(stream, *after)
     out = np.zeros(len(streams))
     for i in range(0, len(of), BLOCKS):
         s, d = start[i : i + BLOCKS], of[i : i + BLOCKS]

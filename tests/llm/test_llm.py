@@ -328,6 +328,20 @@ def test_lm_scores(spark):
     assert lmscore.score_texts(table(spark, [])).count() == 0
 
 
+def test_subwords_of_a_class_sum_to_one(spark):
+    texts = [prose(200) for _ in range(30)] + ["naïve 数据 zq9x#", ""]
+    counts = lmscore.count_words(table(spark, list(enumerate(texts))), "doc_id", "text")
+    with open(lmscore.TOKENIZER, "rb") as f:
+        v = lmscore.build_vocabulary(counts, f.read())
+    after, share = v.after()
+    every = np.arange(v.end + 1)
+    befores = sorted({int(np.flatnonzero(v.input_id == b)[0]) for b in [*v.pairs[0][:200], 0, attention.INPUTS - 1]})
+    for before in befores:
+        stream = np.stack([np.full(len(every), before), every], axis=1).ravel()
+        inside = v.inside(stream, after, share)[1::2].astype(np.float64)
+        assert np.allclose(np.bincount(v.klass, np.exp(inside), attention.CLASSES)[np.unique(v.klass)], 1, atol=2e-4)
+
+
 def test_training_reads_every_subword(spark):
     texts = [prose(5000), "", "one", "x" * 30000, prose(40)]
     counts = lmscore.count_words(table(spark, list(enumerate(texts))), "doc_id", "text")
