@@ -44,49 +44,71 @@ def initial(class_log_share: np.ndarray) -> np.ndarray:
     return flat
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def exponentials(x: np.ndarray) -> None:
+    """In place; logits stay far below the bound, which only keeps a diverging model finite."""
+    np.exp(np.minimum(x, 60, out=x), out=x)
 
 
 def loss_and_gradient(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarray):
     """Mean cross entropy of the targets [n, STRIDE] (-1: none) after windows [n, WINDOW], and its gradient."""
-    m, n = unpack(flat), len(ids)
-    x = m["E"][ids] + m["P"]
-    xq = x[:, WINDOW - STRIDE :]
-    q, k, v = xq @ m["Wq"], x @ m["Wk"], x @ m["Wv"]
-    a = softmax(q @ k.transpose(0, 2, 1) * SCALE + CAUSAL + np.where(valid, 0, np.float32(-1e9))[:, None, :])
-    c = a @ v
-    h = xq + c @ m["Wo"]
-    u = h @ m["W1"] + m["b1"]
-    r = np.maximum(u, 0)
-    o = h + r @ m["W2"]
-    p = softmax(o @ m["U"] + m["b"])
-    has = target >= 0
-    t = np.where(has, target, 0)
+    m, n, flat2 = unpack(flat), len(ids), lambda y: y.reshape(-1, y.shape[-1])
+    x = m["E"].take(ids, axis=0)
+    x += m["P"]
+    xq = np.ascontiguousarray(x[:, WINDOW - STRIDE :])
+    X, XQ = flat2(x), flat2(xq)
+    q, kv = (XQ @ (m["Wq"] * SCALE)).reshape(xq.shape), (X @ np.concatenate([m["Wk"], m["Wv"]], axis=1)).reshape(n, WINDOW, 2 * WIDTH)
+    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+    a = q @ k.transpose(0, 2, 1)
+    a += CAUSAL
+    if not valid.all():
+        a += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+    exponentials(a)
+    a /= a @ ONES
+    c = flat2(a @ v)
+    h = c @ m["Wo"]
+    h += XQ
+    r = h @ m["W1"]
+    r += m["b1"]
+    np.maximum(r, 0, out=r)
+    o = r @ m["W2"]
+    o += h
+    p = o @ m["U"]
+    p += m["b"]
+    exponentials(p)
+    p /= (p @ ONE_PER_CLASS)[:, None]
+    t = target.ravel()
+    has, row = t >= 0, np.arange(len(t))
     count = max(1, int(has.sum()))
-    picked = np.take_along_axis(p, t[..., None], axis=-1)[..., 0]
-    loss = -float(np.log(np.maximum(picked, 1e-30))[has].sum()) / count
+    loss = -float(np.log(np.maximum(p[row, t], 1e-30))[has].sum()) / count
 
     grad = np.zeros_like(flat)
     g = unpack(grad)
     dz = p
-    np.put_along_axis(dz, t[..., None], picked[..., None] - 1, axis=-1)
-    dz *= has[..., None] / np.float32(count)
-    flat2 = lambda y: y.reshape(-1, y.shape[-1])
-    g["U"][:], g["b"][:] = flat2(o).T @ flat2(dz), flat2(dz).sum(axis=0)
+    dz[row, t] -= 1
+    dz *= (has / np.float32(count)).astype(np.float32)[:, None]
+    ones = np.ones(len(t), dtype=np.float32)
+    g["U"][:], g["b"][:] = o.T @ dz, ones @ dz
     do = dz @ m["U"].T
-    du = (do @ m["W2"].T) * (u > 0)
-    g["W2"][:], g["W1"][:], g["b1"][:] = flat2(r).T @ flat2(do), flat2(h).T @ flat2(du), flat2(du).sum(axis=0)
-    dh = do + du @ m["W1"].T
-    dc = dh @ m["Wo"].T
-    g["Wo"][:] = flat2(c).T @ flat2(dh)
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * SCALE
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Wq"][:], g["Wk"][:], g["Wv"][:] = flat2(xq).T @ flat2(dq), flat2(x).T @ flat2(dk), flat2(x).T @ flat2(dv)
-    dx = dk @ m["Wk"].T + dv @ m["Wv"].T
-    dx[:, WINDOW - STRIDE :] += dh + dq @ m["Wq"].T
+    du = do @ m["W2"].T
+    du *= r > 0
+    g["W2"][:], g["W1"][:], g["b1"][:] = r.T @ do, h.T @ du, ones @ du
+    dh = do
+    dh += du @ m["W1"].T
+    dc = (dh @ m["Wo"].T).reshape(n, STRIDE, WIDTH)
+    g["Wo"][:] = c.T @ dh
+    ds, dkv = dc @ v.transpose(0, 2, 1), np.empty_like(kv)
+    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[..., WIDTH:])
+    ds -= (ds * a) @ ONES
+    ds *= a
+    dq = flat2(ds @ k)
+    dq *= SCALE
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
+    DKV = flat2(dkv)
+    both = X.T @ DKV
+    g["Wq"][:], g["Wk"][:], g["Wv"][:] = XQ.T @ dq, both[:, :WIDTH], both[:, WIDTH:]
+    dx = (DKV @ np.concatenate([m["Wk"].T, m["Wv"].T])).reshape(x.shape)
+    dh += dq @ m["Wq"].T
+    dx[:, WINDOW - STRIDE :] += dh.reshape(xq.shape)
     g["P"][:] = dx.sum(axis=0)
     order = np.argsort(ids, axis=None, kind="stable")
     sorted_ids = ids.ravel()[order]
