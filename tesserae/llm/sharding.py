@@ -13,6 +13,8 @@ from tesserae.storage import materialise
 MULTIPLIER = 2862933555777941757
 #: Hex digits of the key's digest that cut a shard into blocks, so that no window holds a whole shard (16**3 blocks).
 BLOCK_DIGITS = 3
+#: Bits of the text's CRC that cut the rows of one id into cells, and salts that cut the rows that are equal in all columns.
+CELL_BITS, SALTS = 12, 4096
 
 
 def key_digest(key: Column) -> Column:
@@ -41,6 +43,9 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     shard's rows from 0 without gaps, in the order of (digest block, id, crc, size).  A null id hashes as the empty
     string, a null text has no bytes (size 8, crc 0); equal ids meet in one shard with slots of their own; other columns,
     whatever their names, are ignored; an empty table gives no rows.  Only ids and sizes are shuffled, never texts.
+
+    Rows are counted before they are numbered: equal ones by salt, so a null or repeated id, which is all in one shard, is
+    numbered in cells of its texts' CRCs and no window holds more than a cell's share of it.
     """
     text = text_or_empty(text_col)
     sized = docs.select(
@@ -56,17 +61,21 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
             F.col("__walk.shard").cast("int").alias("shard"),
             F.col("__walk.grown").cast("int").alias("grown_shard"),
             F.substring("__digest", 1, BLOCK_DIGITS).alias("block"),
+            F.shiftright("text_crc32", 32 - CELL_BITS).alias("cell"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"),
         )
     )
-    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
-    ranked = placed.withColumn("nth", F.row_number().over(within))
-    return ranked.join(offsets.hint("merge"), ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("offset") + F.col("nth") - 1).alias("slot"), "grown_shard",
-    )
+    equal = placed.groupBy("shard", "grown_shard", "block", "doc_id", "cell", "text_crc32", "size", "salt").agg(F.count("*").alias("n"))
+    cells = materialise(equal.groupBy("shard", "block", "doc_id", "cell").agg(F.sum("n").alias("n")))
+    blocks = cells.groupBy("shard", "block").agg(F.sum("n").alias("n"))
+    running = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("shard", "block", running(W.partitionBy("shard").orderBy("block")).alias("offset"))
+    starts = cells.withColumn("start", running(W.partitionBy("shard", "block").orderBy("doc_id", "cell"))).join(offsets.hint("merge"), ["shard", "block"])
+    starts = starts.select(F.col("shard").alias("s"), F.col("block").alias("b"), F.col("doc_id").alias("d"), F.col("cell").alias("c"), (F.col("offset") + F.col("start")).alias("first"))
+    inner = equal.withColumn("inner", running(W.partitionBy("shard", "block", "doc_id", "cell").orderBy("text_crc32", "size", "salt")))
+    same = (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b")) & (F.col("cell") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    slots = F.sequence(F.col("first") + F.col("inner"), F.col("first") + F.col("inner") + F.col("n") - 1)
+    return inner.join(starts.hint("merge"), same).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard")
 
 
 SQL = f"""

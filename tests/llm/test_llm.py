@@ -328,6 +328,21 @@ def test_lm_scores(spark):
     assert lmscore.score_texts(table(spark, [])).count() == 0
 
 
+def test_hot_ids_are_numbered_and_placed_whole(spark):
+    rows = [(None, f"a b {i % 50}" if i % 3 else None) for i in range(600)] + [(7, "w " * (i % 9)) for i in range(500)] + [(i, "x y z", "b") for i in range(100)]
+    got = sharding.assign_shards(table(spark, rows)).toPandas()
+    assert len(got) == len(rows)
+    for _, some in got.groupby("shard"):
+        assert sorted(some["slot"]) == list(range(len(some)))
+    want = sorted((-1 if r[0] is None else r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert sorted(zip(got["doc_id"].fillna(-1).astype(int), got["size"], got["text_crc32"])) == want
+    placed = mixing.place(table(spark, rows)).toPandas()
+    assert len(placed) == len(rows)
+    for _, some in placed.groupby("source"):
+        some = some.sort_values(["start", "size"])
+        assert (some["start"].to_numpy() == np.cumsum(some["size"].to_numpy()) - some["size"].to_numpy()).all()
+
+
 def test_subwords_of_a_class_sum_to_one(spark):
     texts = [prose(200) for _ in range(30)] + ["naïve 数据 zq9x#", ""]
     counts = lmscore.count_words(table(spark, list(enumerate(texts))), "doc_id", "text")
