@@ -16,6 +16,8 @@ from tesserae.storage import materialise, small_side
 
 #: Hex digits of the shuffle digest that cut a source into blocks of rows, so that no window holds a whole source.
 BLOCK_DIGITS = 3
+#: Salts that cut the rows which are equal in id, source and size.
+SALTS = 4096
 #: Slots that one task expands at a time.
 SLOT_CHUNK = 4096
 #: Time chunks (a power of two) within which slots are ranked.
@@ -42,23 +44,28 @@ def source_key(column: str = "source") -> Column:
 
 
 def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """(doc_id, source, skey, size, start): each row's place in the shuffled word stream of its source."""
+    """(doc_id, source, skey, size, start): each row's place in the shuffled word stream of its source.
+
+    Equal rows are counted by salt before they are placed, and the rows of one id are placed by size, so no window holds all
+    rows of a null or repeated id.
+    """
     sized = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("h"),
-        ).withColumn("skey", source_key()).withColumn("part", F.substring("h", 1, BLOCK_DIGITS))
-    )
-    parts = sized.groupBy("skey", "part").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select("skey", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy("skey", "part").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(offsets.hint("merge"), ["skey", "part"]).select(
-        "doc_id", "source", "skey", "size", (F.col("offset") + F.col("inner")).alias("start")
+        ).withColumn("skey", source_key()).withColumn("part", F.substring("h", 1, BLOCK_DIGITS)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     )
+    equal = sized.groupBy("skey", "source", "part", "h", "doc_id", "size", "salt").agg(F.count("*").alias("n"))
+    cells = materialise(equal.groupBy("skey", "part", "h", "size").agg(F.sum(F.col("n") * F.col("size")).alias("words")))
+    parts = cells.groupBy("skey", "part").agg(F.sum("words").alias("words"))
+    running = lambda words, window: F.coalesce(F.sum(words).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("skey", "part", running("words", W.partitionBy("skey").orderBy("part")).alias("offset"))
+    firsts = cells.withColumn("first", running("words", W.partitionBy("skey", "part").orderBy("h", "size"))).join(offsets.hint("merge"), ["skey", "part"])
+    inner = equal.withColumn("inner", running(F.col("n") * F.col("size"), W.partitionBy("skey", "part", "h", "size").orderBy("salt")))
+    placed = inner.join(firsts.drop("words").hint("merge"), ["skey", "part", "h", "size"]).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return placed.select("doc_id", "source", "skey", "size", (F.col("offset") + F.col("first") + F.col("inner") + F.col("nth") * F.col("size")).alias("start"))
 
 
 def source_targets(placed: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block_words: int = 512) -> DataFrame:
