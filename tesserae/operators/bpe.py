@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,43 +47,61 @@ def learn_merges(counts: DataFrame, vocabulary: int = 32_000, driver_types: int
 
 
 def driver_merges(types: list[tuple[str, int]], most: int) -> list[tuple[int, int]]:
-    """The first merges of some types with their counts; a heap has an entry for each count that a pair came to have."""
-    base = len(SPECIALS)
-    words = [([base + b for b in token.encode("utf-8")], n) for token, n in types]
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = {}
-    for k, (ids, n) in enumerate(words):
-        for pair in zip(ids, ids[1:]):
-            pairs[pair] += n
-            where.setdefault(pair, set()).add(k)
-    heap = [(-n, pair) for pair, n in pairs.items()]
+    """The first merges of some types with their counts.
+
+    All types lie in one array of linked slots with a gap around each.  A pair's places all come up in the merge that makes
+    its newer id, so they are stored once and checked when the pair's turn comes; a heap has an entry for each count that a
+    pair came to have.
+    """
+    base, gap, dead, wide = len(SPECIALS), -1, -2, 1 << 32
+    raw = [token.encode("utf-8") for token, _ in types]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    flat = np.frombuffer(b"\0" + b"".join(r + b"\0" for r in raw), np.uint8)
+    ids = flat.astype(np.int64) + base
+    ids[np.cumsum(np.append(0, sizes))] = gap
+    weight = np.append(0, np.repeat(np.array([n for _, n in types], dtype=np.int64), sizes))
+    after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+
+    def grouped(places: np.ndarray):
+        """(pair as one number, its count, its places) of the pairs that begin at some places."""
+        code = ids[places] * wide + ids[after[places]]
+        order = np.argsort(code, kind="stable")
+        code, places = code[order], places[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        return code[first].tolist(), np.add.reduceat(weight[places], first).tolist() if len(first) else [], np.split(places, first[1:])
+
+    where, counts = {}, {}
+    for pair, n, places in zip(*grouped(np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0)))):
+        where[pair], counts[pair] = places, n
+    heap = [(-n, pair) for pair, n in counts.items()]
     heapify(heap)
     merges: list[tuple[int, int]] = []
     while len(merges) < most and heap:
         n, best = heappop(heap)
-        if -n != pairs.get(best, 0) or not n:
+        if -n != counts.get(best, 0):
             continue  # the count has changed since
-        new = base + 256 + len(merges)
-        merges.append(best)
-        moved: Counter = Counter()
-        for k in where.pop(best):
-            ids, n = words[k]
-            after = merge(ids, best, new)
-            if len(after) == len(ids):
-                continue  # an earlier merge took the pair apart
-            for pair in zip(ids, ids[1:]):
-                moved[pair] -= n
-            for pair in zip(after, after[1:]):
-                moved[pair] += n
-                where.setdefault(pair, set()).add(k)
-            words[k] = (after, n)
-        for pair, n in moved.items():
-            if n:
-                pairs[pair] += n
-                if pairs[pair] > 0:
-                    heappush(heap, (-pairs[pair], pair))
-                else:
-                    del pairs[pair]
+        (left, right), new = divmod(best, wide), base + 256 + len(merges)
+        merges.append((left, right))
+        at = where.pop(best)
+        at = at[(ids[at] == left) & (ids[after[at]] == right)]
+        if left == right:  # in a row of equal ids every second pair, from the left
+            order = np.arange(len(at))
+            begins = np.append(True, at[1:] != after[at[:-1]])
+            at = at[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0]
+        second, ahead = after[at], before[at]
+        beyond = after[second]
+        for pair, moved, _ in zip(*grouped(np.unique(np.concatenate([ahead[ids[ahead] >= 0], at, second[ids[beyond] >= 0]])))):
+            counts[pair] -= moved
+            if counts[pair] and pair != best:
+                heappush(heap, (-counts[pair], pair))
+            else:
+                del counts[pair]
+                where.pop(pair, None)
+        ids[at], ids[second], after[at], before[beyond] = new, dead, beyond, at
+        ahead = before[at]
+        for pair, n, places in zip(*grouped(np.unique(np.concatenate([ahead[ids[ahead] >= 0], at[ids[beyond] >= 0]])))):
+            counts[pair], where[pair] = n, places
+            heappush(heap, (-n, pair))
     return merges
 
 
