@@ -109,8 +109,8 @@ def repeated_spans(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
 def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span: doc_id, start, end, words, chunks, first_doc_id; texts without repeats have no row.
 
-    Null and empty texts have no chunks; the later of repeated rows repeats the earlier as a whole; null ids sort first and
-    are returned as null; other columns are ignored; an empty table gives no rows.  Chunks are counted with partial sums,
+    Null and empty texts have no chunks; the later of repeated rows repeats the earlier as a whole, and so has a row if it has
+    ``least_words`` words or more; copies of shorter texts have none; null ids sort first and are returned as null; other columns are ignored; an empty table gives no rows.  Chunks are counted with partial sums,
     and those that many texts share are joined by a bounded broadcast, so no task gathers a popular passage.
     """
     return repeated_spans(chunk_table(docs, id_col, text_col), least_words).drop("row")
