@@ -58,27 +58,32 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_batches(batches):
-    """Per row: each chunk's digest, its end in code points and the words begun up to there."""
+    """Per row: each chunk's digest, the words begun up to its end, and in code points where a run stops that ends with it and
+    where one starts that begins behind it: at the chunk's end, or before and behind the word that it cuts."""
     for batch in batches:
-        digests, ends_out, words = [], [], []
+        digests, stops, starts, words = [], [], [], []
         for text in batch["__text"]:
             raw = text.encode("utf-8", "surrogatepass")
             data = np.frombuffer(raw, dtype=np.uint8)
             ends = chunk_ends(data)
             space = (data == 32) | ((data >= 9) & (data <= 13))
-            begun = np.cumsum(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, int)
-            points = np.cumsum((data & 0xC0) != 0x80)
-            ends_out.append(points[ends - 1].astype(np.int32))
+            first = ~space & np.concatenate([[True], space])[:-1]
+            begun, begins = np.cumsum(first), np.flatnonzero(first)
+            points = np.cumsum(np.append(0, (data & 0xC0) != 0x80))
+            inside = ~np.append(space, True)[ends] & ~space[ends - 1]
+            nth = np.searchsorted(begins, ends)
+            stops.append(points[np.where(inside, np.append(0, begins)[nth], ends)].astype(np.int32))
+            starts.append(points[np.where(inside, np.append(begins, len(data))[nth], ends)].astype(np.int32))
             words.append(begun[ends - 1].astype(np.int32))
             cuts = ends.tolist()
             digests.append(np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip([0, *cuts], cuts)), dtype=np.int64))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "ends": ends_out, "words": words, "digests": digests})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "ends": stops, "starts": starts, "words": words, "digests": digests})
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, digests, ends, words), materialised; ``row`` numbers the rows, so repeated ids stay apart."""
+    """(row, doc_id, digests, ends, starts, words), materialised; ``row`` numbers the rows, so repeated ids stay apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("__text"))
-    chunks = rows.mapInPandas(chunk_batches, "doc_id long, ends array<int>, words array<int>, digests array<long>")
+    chunks = rows.mapInPandas(chunk_batches, "doc_id long, ends array<int>, starts array<int>, words array<int>, digests array<long>")
     return materialise(chunks.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -86,7 +91,8 @@ def repeated_spans(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     """(row, doc_id, start, end, words, chunks, first_doc_id): the runs of chunks that occurred before.
 
     The first occurrence of a digest in the order of (doc_id, row, position) stays; every other one is repeated.  Adjacent
-    repeated chunks make a run, which is reported from ``least_words`` words on, with ends exclusive in code points.
+    repeated chunks make a run, which is reported from ``least_words`` begun words on (2 at least), with ends exclusive in
+    code points.  A word that an end of the run cuts is not part of the span.
     """
     flat = chunks.select("doc_id", "row", F.posexplode("digests").alias("pos", "digest"))
     counted = flat.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("first"))
@@ -97,11 +103,11 @@ def repeated_spans(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     again = again.select("row", "pos", F.col("first.doc_id").alias("from_doc"))
     runs = again.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("row").orderBy("pos")))
     runs = runs.groupBy("row", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.min_by("from_doc", "pos").alias("first_doc_id"))
-    placed = runs.join(chunks.select("row", "doc_id", "ends", "words").hint("merge"), "row")
+    placed = runs.join(chunks.select("row", "doc_id", "ends", "starts", "words").hint("merge"), "row")
     upto = lambda name, at: F.when(F.col(at) < 0, F.lit(0)).otherwise(F.get(F.col(name), F.col(at)))
     placed = placed.withColumn("before", F.col("a") - 1)
     return placed.select(
-        "row", "doc_id", upto("ends", "before").alias("start"), upto("ends", "b").alias("end"),
+        "row", "doc_id", upto("starts", "before").alias("start"), upto("ends", "b").alias("end"),
         (upto("words", "b") - upto("words", "before")).alias("words"), (F.col("b") - F.col("a") + 1).alias("chunks"), "first_doc_id",
     ).where(F.col("words") >= least_words)
 
@@ -110,7 +116,8 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str =
     """One row per repeated span: doc_id, start, end, words, chunks, first_doc_id; texts without repeats have no row.
 
     Null and empty texts have no chunks; the later of repeated rows repeats the earlier as a whole, and so has a row if it has
-    ``least_words`` words or more; copies of shorter texts have none; null ids sort first and are returned as null; other columns are ignored; an empty table gives no rows.  Chunks are counted with partial sums,
-    and those that many texts share are joined by a bounded broadcast, so no task gathers a popular passage.
+    ``least_words`` words or more; copies of shorter texts have none; null ids sort first and
+    are returned as null; other columns are ignored; an empty table gives no rows.  Chunks are counted with partial sums, and
+    those that many texts share are joined by a bounded broadcast, so no task gathers a popular passage.
     """
     return repeated_spans(chunk_table(docs, id_col, text_col), least_words).drop("row")
