@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tesserae.llm import decontam, jaccard, mixing, sharding, toxicity
-from tesserae.storage import keep_ids, materialise
+from tesserae.storage import keep_ids, materialise, small_side
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL cannot express the trained models and the random paths of the first two stages; tests hold the stages against brute force.
@@ -83,14 +83,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame, times: DataFrame, on: str) -> DataFrame:
-    """Each row as often as ``times`` says for its key; keys that are not listed stay as they are."""
-    times = materialise(times)
-    dropped = keep_ids(docs, times.where("times = 0"), on, "left_anti")
-    out = dropped
-    for n in range(2, 1 + (times.agg(F.coalesce(F.max("times"), F.lit(1))).first()[0])):
-        more = keep_ids(dropped, times.where(F.col("times") >= n), on, "left_semi")
-        out = out.unionByName(more)
-    return out
+    """Each row as often as ``times`` says for its key, in one pass over the rows; keys that are not listed stay as they are."""
+    listed = small_side(materialise(times.select(on, F.col("times").alias("__times"))))
+    copies = F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1)))
+    return docs.join(listed, on, "left").withColumn("__copy", F.explode(copies)).drop("__copy", "__times")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
