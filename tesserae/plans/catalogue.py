@@ -193,7 +193,7 @@ def decode_records(spark, d):
 
 @query
 def jsonl_round_trip(spark, d):
-    path = f"{scratch_dir(spark)}/jsonl"
+    path = f"{scratch_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     records.write_jsonl(docs_of(spark, d), path)
     back = records.decode_lines(spark.read.text(path)).groupBy("source")
     return back.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
@@ -254,7 +254,7 @@ def next_token_pairs(spark, d):
 
 @query
 def shard_round_trip(spark, d):
-    path = f"{scratch_dir(spark)}/shards"
+    path = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
     packed = packing.pack(worded(spark, d), 256)
     records.write_sharded(packed.withColumn("shard", packing.shard_number(F.col("chunk"), 100)), path)
     return records.read_sharded(spark, path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("sequences"))
@@ -441,6 +441,6 @@ def stream_step_windows(spark, d):
 
 @query
 def corpus_build(spark, d):
-    """Quality, dedup, fill-in-the-middle, encoding and packing end to end, as counts by shard."""
-    packed = build_corpus(docs_of(spark, d), length=512)
+    """Quality, dedup, byte pairs, fill-in-the-middle, encoding and packing end to end, as counts by shard."""
+    packed = build_corpus(docs_of(spark, d), vocabulary=32_000)
     return packed.groupBy(packing.shard_number(F.col("chunk"), 100).alias("shard")).agg(F.count("*").alias("sequences"), F.sum(F.size("tokens").cast("long")).alias("tokens"))
