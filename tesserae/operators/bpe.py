@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,18 @@ SPECIALS = (
 )
 EOS = 0
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-token types that the driver merges by itself; where there are more, all of them stay on the executors.
-DRIVER_TYPES = 1_000_000
-#: Most frequent pairs that a pass over the executors' types sends to the driver.
+#: Pre-token types that the driver merges by itself, and slots of a usual one; where there are more slots, the executors begin.
+DRIVER_TYPES, TYPE_SLOTS = 1_500_000, 12
+#: Most frequent pairs of a pass over the executors' types among which merges are looked for.
 TOP_PAIRS = 2_000
+#: All counts over this are the first guess of the last merge's count; it was 1/346,000 and 1/323,000 of them on two tables.
+LAST_SHARE = 1_500_000
+#: Places of pairs that the driver sorts at once at its beginning, about.
+FIRST_PLACES = 2_000_000
+#: Slots without a symbol: between types, and within a longer symbol.  A pair is one number, its first id times WIDE and its second.
+GAP, DEAD, WIDE = -1, -2, 1 << 32
+#: Many types in a row: their slots and counts as bytes.
+PACKED = "ids binary, n binary, slots long"
 
 
 def pretokens(text: Column) -> Column:
@@ -37,71 +46,213 @@ def learn_merges(counts: DataFrame, vocabulary: int = 32_000, driver_types: int
     """Pairs of ids in the order of their merging; the k-th makes id ``len(SPECIALS) + 256 + k``.
 
     The most frequent adjacent pair is merged, ties to the smaller pair, until the vocabulary is full or no pair is left.
-    All types count.  Up to ``driver_types`` of them are merged on the driver, which updates only what a merge touches; more
-    stay on the executors, and each pass over them merges as many pairs as are sure to come next.
+    All types count.  While they have more symbols than ``driver_types`` usual ones they stay on the executors, where each
+    pass merges as many pairs as are sure to come next; the driver merges the rest and updates only what a merge touches.
+
+    What lies between two symbols is never merged once their pair is rarer than the last merge, as no later pair in that
+    place is more frequent.  How frequent that one is is guessed from all counts; with a guess that proves too high no
+    vocabulary gets full, and all is done again with a lower one.
     """
     counts, most = materialise(counts), vocabulary - len(SPECIALS) - 256
-    if counts.count() > driver_types:
-        return distributed_merges(counts, most)
-    return driver_merges([(row.token, row.n) for row in counts.toLocalIterator()], most)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    floor = max(1, total // LAST_SHARE * 32_000 // max(1, vocabulary))
+    while True:
+        merges = merges_above(counts, most, floor, driver_types * TYPE_SLOTS)
+        if len(merges) >= most or floor == 1:
+            return merges
+        floor = max(1, floor // 4)
 
 
-def driver_merges(types: list[tuple[str, int]], most: int) -> list[tuple[int, int]]:
-    """The first merges of some types with their counts.
+def merges_above(counts: DataFrame, most: int, floor: int, room: int) -> list[tuple[int, int]]:
+    """The first merges of pairs that come up ``floor`` times or more; the driver takes over at ``room`` slots."""
+    merges: list[tuple[int, int]] = []
+    words = materialise(counts.mapInArrow(packed_types, PACKED))
+    while len(merges) < most:
+        slots = words.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+        if slots <= room:
+            ids, weights = gathered(words)
+            discard(words)
+            return merges + driver_merges(ids, weights, most - len(merges), len(merges), floor)
+        pairs = words.select("ids", "n").mapInArrow(counted_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toPandas()
+        if not len(pairs):
+            break
+        pair, n = pairs["pair"].to_numpy(), pairs["n"].to_numpy()
+        top = np.lexsort((pair, -n))[:TOP_PAIRS]
+        sure = sure_merges([divmod(x, WIDE) for x in pair[top].tolist()], most - len(merges))
+        apply = merging(sure, len(SPECIALS) + 256 + len(merges), np.sort(pair))
+        merges += sure
+        before, words = words, materialise(words.select("ids", "n").mapInArrow(apply, PACKED))
+        discard(before)
+    discard(words)
+    return merges
 
-    All types lie in one array of linked slots with a gap around each.  A pair's places all come up in the merge that makes
-    its newer id, so they are stored once and checked when the pair's turn comes; a heap has an entry for each count that a
-    pair came to have.
+
+def with_gaps(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of ids that lie end to end, with a gap before, between and after them."""
+    out = np.full(len(ids) + len(lengths) + 1, GAP, dtype=np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)] = ids
+    return out
+
+
+def packed(ids: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """Slots of types and the types' counts as one row; ``gathered`` and the passes take it apart."""
+    row = [pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([weights.astype(np.int64).tobytes()], pa.binary()), pa.array([len(ids)], pa.int64())]
+    return pa.RecordBatch.from_arrays(row, names=["ids", "n", "slots"])
+
+
+def unpacked(batches):
+    for batch in batches:
+        for ids, weights in zip(batch.column(0), batch.column(1)):
+            yield np.frombuffer(ids.as_py(), np.int32), np.frombuffer(weights.as_py(), np.int64)
+
+
+def packed_types(batches):
+    """Rows of types, each with the bytes of up to a batch of (token, n); a type of one byte has no pair."""
+    for batch in batches:
+        raw = [t.encode("utf-8") for t in batch.column("token").to_pylist()]
+        sizes, weights = np.fromiter(map(len, raw), np.int64, len(raw)), batch.column("n").to_numpy(zero_copy_only=False)
+        some = sizes > 1
+        if some.any():
+            ids = np.frombuffer(b"".join(r for r in raw if len(r) > 1), np.uint8).astype(np.int32) + len(SPECIALS)
+            yield packed(with_gaps(ids, sizes[some]), weights[some])
+
+
+def gathered(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All packed types on the driver, a partition at a time."""
+    ids, weights = [np.array([GAP], np.int32)], [np.zeros(0, np.int64)]
+    for row in words.select("ids", "n").toLocalIterator():
+        ids.append(np.frombuffer(row.ids, np.int32)[1:])  # each row begins with a gap, and the one before ends with one
+        weights.append(np.frombuffer(row.n, np.int64))
+    return np.concatenate(ids), np.concatenate(weights)
+
+
+def counted_pairs(batches):
+    """(pair, n) of each packed row: the places of pairs, weighted by their types' counts."""
+    for ids, weights in unpacked(batches):
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        pair, where = np.unique(ids[at].astype(np.int64) * WIDE + ids[at + 1], return_inverse=True)
+        word = np.cumsum(ids == GAP)[at] - 1
+        n = np.zeros(len(pair), np.int64)
+        np.add.at(n, where, weights[word])
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+
+
+def merging(sure: list[tuple[int, int]], new: int, alive: np.ndarray):
+    """A pass over packed rows: types are cut between symbols whose pair is not in ``alive`` (sorted), and get the merges."""
+    codes = np.array([a * WIDE + b for a, b in sure], dtype=np.int64)
+    order = np.argsort(codes)
+    codes, made, same = codes[order], (new + order).astype(np.int32), [a for a, b in sure if a == b]
+
+    def found(pair: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(among, pair), len(among) - 1)
+        return at, among[at] == pair
+
+    def apply(batches):
+        for ids, weights in unpacked(batches):
+            at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            pair = ids[at].astype(np.int64) * WIDE + ids[at + 1]
+            keep = found(pair, alive)[1]
+            which, hit = found(pair, codes)
+            first, which = at[hit], which[hit]
+            if same:  # in a row of equal ids every second pair, from the left
+                equal = np.flatnonzero(ids[first] == ids[first + 1])
+                drop = equal[~alternate(first[equal], first[equal] + 1)]
+                first, which = np.delete(first, drop), np.delete(which, drop)
+            ids, bound = ids.copy(), np.ones(len(ids), dtype=bool)  # bound: nothing is merged over the end of a symbol
+            bound[at[keep]] = False
+            bound[first] = bound[first + 1]
+            ids[first], ids[first + 1] = made[which], DEAD
+            word = np.cumsum(ids == GAP) - 1
+            real = ids >= 0
+            ids, bound, word = ids[real], bound[real], word[real]
+            ends = np.flatnonzero(bound)
+            sizes = np.diff(ends, prepend=-1)
+            some = sizes > 1
+            if some.any():
+                yield packed(with_gaps(ids[np.repeat(some, sizes)], sizes[some]), weights[word[ends[some]]])
+
+    return apply
+
+
+def alternate(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Every second of the places that follow each other directly, from the first."""
+    order = np.arange(len(at))
+    begins = np.append(True, at[1:] != after[:-1])[: len(at)]
+    return (order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0
+
+
+def driver_merges(ids: np.ndarray, weights: np.ndarray, most: int, done: int = 0, floor: int = 1) -> list[tuple[int, int]]:
+    """The first merges, after ``done`` earlier ones, of types with their counts, as long as a pair comes up ``floor`` times.
+
+    All types lie in one array of slots with a gap around each.  A symbol is in its first slot, its length in its first and
+    last.  A pair's places all come up in the merge that makes its newer id, so they are stored once and checked when the
+    pair's turn comes; places of a pair below ``floor`` are cut for good.  A heap has an entry for each count that a pair
+    came to have.
     """
-    base, gap, dead, wide = len(SPECIALS), -1, -2, 1 << 32
-    raw = [token.encode("utf-8") for token, _ in types]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    flat = np.frombuffer(b"\0" + b"".join(r + b"\0" for r in raw), np.uint8)
-    ids = flat.astype(np.int64) + base
-    ids[np.cumsum(np.append(0, sizes))] = gap
-    weight = np.append(0, np.repeat(np.array([n for _, n in types], dtype=np.int64), sizes))
-    after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+    base, span, cut = len(SPECIALS), np.ones(len(ids), dtype=np.int32), np.zeros(len(ids), dtype=bool)
+    word = np.cumsum(ids == GAP, dtype=np.int32)
+    word -= 1
+    where, counts, heap = {}, {}, []
 
     def grouped(places: np.ndarray):
-        """(pair as one number, its count, its places) of the pairs that begin at some places."""
-        code = ids[places] * wide + ids[after[places]]
+        """The pairs that begin at some places, their counts, the bounds of their places, and the places."""
+        code = ids[places].astype(np.int64)
+        code *= WIDE
+        code += ids[places + span[places]]
         order = np.argsort(code, kind="stable")
         code, places = code[order], places[order]
-        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        return code[first].tolist(), np.add.reduceat(weight[places], first).tolist() if len(first) else [], np.split(places, first[1:])
-
-    where, counts = {}, {}
-    for pair, n, places in zip(*grouped(np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0)))):
-        where[pair], counts[pair] = places, n
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapify(heap)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+        return code[first], np.add.reduceat(weights[word[places]], first) if len(first) else first, np.append(first, len(code)), places
+
+    def store(places: np.ndarray):
+        pairs, sums, bounds, places = grouped(places)
+        rare = sums < floor
+        cut[places[np.repeat(rare, np.diff(bounds))]] = True
+        for i in np.flatnonzero(~rare).tolist():
+            pair, n = int(pairs[i]), int(sums[i])
+            counts[pair], where[pair] = n, places[bounds[i] : bounds[i + 1]].copy()
+            heappush(heap, (-n, pair))
+
+    def before(places: np.ndarray) -> np.ndarray:
+        return places - span[places - 1]
+
+    def open_pairs(*places: np.ndarray) -> np.ndarray:
+        """Those of the places at which an uncut pair begins, once each."""
+        at = np.concatenate(places)
+        return np.unique(at[(ids[at] >= 0) & ~cut[at] & (ids[at + span[at]] >= 0)])
+
+    begins = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0)).astype(np.int32)
+    seen = np.bincount(ids[begins]) if len(begins) else np.zeros(0, np.int64)
+    share = np.cumsum(seen) // FIRST_PLACES  # pairs are stored by ranges of their first ids, which bounds what is sorted at once
+    for k in np.unique(share).tolist():
+        store(begins[share[ids[begins]] == k])
+    del begins
     merges: list[tuple[int, int]] = []
     while len(merges) < most and heap:
         n, best = heappop(heap)
         if -n != counts.get(best, 0):
             continue  # the count has changed since
-        (left, right), new = divmod(best, wide), base + 256 + len(merges)
+        (left, right), new = divmod(best, WIDE), base + 256 + done + len(merges)
         merges.append((left, right))
         at = where.pop(best)
-        at = at[(ids[at] == left) & (ids[after[at]] == right)]
+        del counts[best]
+        at = at[ids[at] == left]
+        at = at[ids[at + span[at]] == right]
         if left == right:  # in a row of equal ids every second pair, from the left
-            order = np.arange(len(at))
-            begins = np.append(True, at[1:] != after[at[:-1]])
-            at = at[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0]
-        second, ahead = after[at], before[at]
-        beyond = after[second]
-        for pair, moved, _ in zip(*grouped(np.unique(np.concatenate([ahead[ids[ahead] >= 0], at, second[ids[beyond] >= 0]])))):
-            counts[pair] -= moved
-            if counts[pair] and pair != best:
-                heappush(heap, (-counts[pair], pair))
-            else:
-                del counts[pair]
-                where.pop(pair, None)
-        ids[at], ids[second], after[at], before[beyond] = new, dead, beyond, at
-        ahead = before[at]
-        for pair, n, places in zip(*grouped(np.unique(np.concatenate([ahead[ids[ahead] >= 0], at[ids[beyond] >= 0]])))):
-            counts[pair], where[pair] = n, places
-            heappush(heap, (-n, pair))
+            at = at[alternate(at, at + span[at])]
+        second = at + span[at]
+        pairs, sums, _, _ = grouped(open_pairs(before(at), second))
+        for pair, moved in zip(pairs.tolist(), sums.tolist()):
+            if pair in counts:
+                counts[pair] -= moved
+                if counts[pair] >= floor:
+                    heappush(heap, (-counts[pair], pair))
+                else:
+                    del counts[pair], where[pair]
+        ids[at], ids[second], cut[at] = new, DEAD, cut[second]
+        span[at] += span[second]
+        span[at + span[at] - 1] = span[at]
+        store(open_pairs(before(at), at))
     return merges
 
 
@@ -125,39 +276,6 @@ def sure_merges(top: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     return sure
 
 
-def distributed_merges(counts: DataFrame, most: int) -> list[tuple[int, int]]:
-    """What ``driver_merges`` gives, with all types on the executors: a pass counts pairs, another table gets their merges."""
-    base, merges = len(SPECIALS), []
-
-    def split(batches):
-        for batch in batches:
-            yield pd.DataFrame({"ids": [[base + b for b in t.encode("utf-8")] for t in batch["token"]], "n": batch["n"]})
-
-    words = materialise(counts.mapInPandas(split, "ids array<int>, n long").where("size(ids) > 1"))
-    while len(merges) < most:
-        pairs = words.select("n", F.explode(F.expr("transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as a, ids[i] as b))")).alias("p"))
-        top = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b").limit(TOP_PAIRS).collect()
-        if not top:
-            break
-        sure = sure_merges([(r.a, r.b) for r in top], most - len(merges))
-
-        def apply(batches, sure=tuple(sure), new=base + 256 + len(merges)):
-            made = {pair: new + k for k, pair in enumerate(sure)}
-            for batch in batches:
-                rows = []
-                for ids in batch["ids"]:
-                    ids = list(map(int, ids))
-                    for pair in sorted(made.keys() & set(zip(ids, ids[1:])), key=made.get):
-                        ids = merge(ids, pair, made[pair])
-                    rows.append(ids)
-                yield pd.DataFrame({"ids": rows, "n": batch["n"]})
-
-        merges += sure
-        before, words = words, materialise(words.mapInPandas(apply, "ids array<int>, n long").where("size(ids) > 1"))
-        discard(before)
-    return merges
-
-
 def merge(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     """All occurrences of a pair, from the left, as one id."""
     out, i = [], 0

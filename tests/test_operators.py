@@ -185,6 +185,17 @@ def test_merges_of_all_types(spark):
     assert bpe.learn_merges(rows, vocabulary, driver_types=0) == want
 
 
+def test_merges_take_few_passes(spark, monkeypatch):
+    rng, tables = random.Random(3), []
+    made = {"".join(rng.choice("abcdefghij") for _ in range(rng.randint(6, 14))): rng.randint(1, 9) for _ in range(2000)}
+    rows = spark.createDataFrame(list(made.items()), "token string, n long")
+    monkeypatch.setattr(bpe, "materialise", lambda df, cut=bpe.materialise: tables.append(df) or cut(df))
+    many = bpe.learn_merges(rows, 700, driver_types=1500)
+    assert len(tables) < 40  # a table a pass over the executors, until the driver has room
+    monkeypatch.setattr(bpe, "LAST_SHARE", 4000, raising=False)  # a guess of the last merge's count that is too high
+    assert len(many) == 433 and bpe.learn_merges(rows, 700) == many
+
+
 def test_no_type_is_left_out(spark):
     rows = spark.range(100_001).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("token"), F.lit(2).cast("long").alias("n"))
     rare = spark.createDataFrame([("zq", 1)], "token string, n long")
