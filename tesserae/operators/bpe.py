@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ FIRST_PLACES = 2_000_000
 GAP, DEAD, WIDE = -1, -2, 1 << 32
 #: Many types in a row: their slots and counts as bytes.
 PACKED = "ids binary, n binary, slots long"
+#: Pre-token types whose ids a worker remembers while it encodes, about, and texts whose new types it encodes together.
+MEMORY, TEXTS = 500_000, 256
 
 
 def pretokens(text: Column) -> Column:
@@ -289,37 +293,66 @@ def merge(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
+def type_ids(tokens: list[str], codes: np.ndarray, rank: np.ndarray) -> list[list[int]]:
+    """The ids of each token, given the merges' pairs, sorted, and their ranks.
+
+    In each round every token gets its first merge at all its places, as it would alone.
+    """
+    raw, none = [t.encode("utf-8") for t in tokens], 1 << 40
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ids = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + len(SPECIALS)
+    word, out = np.repeat(np.arange(len(raw)), sizes), [[] for _ in raw]
+    while len(ids):
+        begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        made = np.full(len(ids), none)
+        if len(codes):
+            pair = ids[:-1] * WIDE + ids[1:]
+            at = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
+            made[:-1] = np.where((codes[at] == pair) & (word[1:] == word[:-1]), rank[at], none)
+        sizes = np.diff(begin, append=len(ids))
+        least = np.repeat(np.minimum.reduceat(made, begin), sizes)
+        ready = least[begin] == none
+        if ready.any():
+            flat = ids.tolist()
+            for w, i, n in zip(word[begin[ready]].tolist(), begin[ready].tolist(), sizes[ready].tolist()):
+                out[w] = flat[i : i + n]
+        first = np.flatnonzero((made == least) & (least < none))
+        first = first[alternate(first, first + 1)]  # in a row of equal ids every second pair, from the left
+        ids[first] = made[first] + len(SPECIALS) + 256
+        keep = least < none
+        keep[first + 1] = False
+        ids, word = ids[keep], word[keep]
+    return out
+
+
 def encode(docs: DataFrame, merges: list[tuple[int, int]], eos: int | None = EOS) -> DataFrame:
     """Column ``ids`` added: the ids of each text, then ``eos``; special tokens in a text are one id each."""
     held = docs.sparkSession.sparkContext.broadcast(merges)
 
     @F.pandas_udf("array<long>")
-    def ids_of(texts: pd.Series) -> pd.Series:
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
 
         split = regex.compile(SPLIT.removeprefix("(?U)"))
         special = regex.compile("(" + "|".join(map(regex.escape, SPECIALS)) + ")")
-        rank = {tuple(p): i for i, p in enumerate(held.value)}
-        known: dict[str, list[int]] = {}
-
-        def token_ids(token: str) -> list[int]:
-            if token not in known:
-                ids = [len(SPECIALS) + b for b in token.encode("utf-8")]
-                while len(ids) > 1:
-                    best = min(zip(ids, ids[1:]), key=lambda p: rank.get(p, len(rank)))
-                    if best not in rank:
-                        break
-                    ids = merge(ids, best, len(SPECIALS) + 256 + rank[best])
-                known[token] = ids
-            return known[token]
-
-        def text_ids(text: str) -> list[int]:
-            out = []
-            for part in special.split(text):
-                out.extend([SPECIALS.index(part)] if part in SPECIALS else [i for t in split.findall(part) for i in token_ids(t)])
-            return out + ([eos] if eos is not None else [])
+        codes = np.array([a * WIDE + b for a, b in held.value], dtype=np.int64)
+        order = np.argsort(codes)
+        known: dict[str, list[int]] = {s: [i] for i, s in enumerate(SPECIALS)}
+        end = [eos] if eos is not None else []
 
-        return texts.fillna("").map(text_ids)
+        def tokens_of(text: str) -> list[str]:
+            return [t for part in special.split(text) for t in ([part] if part in SPECIALS else split.findall(part))]
+
+        for batch in batches:
+            out = []
+            for first in range(0, len(batch), TEXTS):
+                if len(known) > MEMORY:
+                    known = {s: [i] for i, s in enumerate(SPECIALS)}
+                texts = [tokens_of(t) for t in batch.iloc[first : first + TEXTS].fillna("")]
+                new = list(set(chain.from_iterable(texts)).difference(known))
+                known.update(zip(new, type_ids(new, codes[order], order)))
+                out += [[*chain.from_iterable(map(known.__getitem__, tokens)), *end] for tokens in texts]
+            yield pd.Series(out, dtype=object)
 
     return docs.withColumn("ids", ids_of("text"))
 

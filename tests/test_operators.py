@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,23 @@ def test_merges_take_few_passes(spark, monkeypatch):
     assert len(many) == 433 and bpe.learn_merges(rows, 700) == many
 
 
+def test_types_encoded_together_as_alone():
+    rng, base = random.Random(5), len(bpe.SPECIALS)
+    made = [(base + ord("a"), base + ord("a"))]
+    for new in range(base + 257, base + 300):
+        made.append((rng.choice([base + ord(c) for c in "abc"] + list(range(base + 256, new))), rng.choice([base + ord(c) for c in "abc"])))
+    made = list(dict.fromkeys(made))
+    tokens, want = ["", "aaaaaaa", "é"] + ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 20))) for _ in range(200)], []
+    for t in tokens:
+        ids = [base + b for b in t.encode()]
+        while found := [made.index(p) for p in zip(ids, ids[1:]) if p in made]:
+            ids = bpe.merge(ids, made[min(found)], base + 256 + min(found))
+        want.append(ids)
+    codes = np.array([a * bpe.WIDE + b for a, b in made])
+    order = np.argsort(codes)
+    assert bpe.type_ids(tokens, codes[order], order) == want and bpe.type_ids(["ab"], codes[:0], order[:0]) == [[base + 97, base + 98]]
+
+
 def test_no_type_is_left_out(spark):
     rows = spark.range(100_001).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("token"), F.lit(2).cast("long").alias("n"))
     rare = spark.createDataFrame([("zq", 1)], "token string, n long")
