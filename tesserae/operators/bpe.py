@@ -7,7 +7,6 @@ from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,8 @@ LAST_SHARE = 1_500_000
 FIRST_PLACES = 2_000_000
 #: Slots without a symbol: between types, and within a longer symbol.  A pair is one number, its first id times WIDE and its second.
 GAP, DEAD, WIDE = -1, -2, 1 << 32
+#: The rank of a pair that no merge has.
+NEVER = (1 << 31) - 1
 #: Many types in a row: their slots and counts as bytes.
 PACKED = "ids binary, n binary, slots long"
 #: Pre-token types whose ids a worker remembers while it encodes, about, and texts whose new types it encodes together.
@@ -293,68 +294,148 @@ def merge(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
-def type_ids(tokens: list[str], codes: np.ndarray, rank: np.ndarray) -> list[list[int]]:
-    """The ids of each token, given the merges' pairs, sorted, and their ranks.
-
-    In each round every token gets its first merge at all its places, as it would alone.
+class PairTable:
+    """Ranks of merges by their pairs: a hash table in two arrays, a quarter full at most, with the next slots as overflow."""
+
+    def __init__(self, codes: np.ndarray, ranks: np.ndarray):
+        bits = max(4, (4 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.codes, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.int32)
+        at = self.home(codes)
+        while len(codes):
+            free = np.flatnonzero(self.codes[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            placed = free[first]
+            self.codes[slots], self.ranks[slots] = codes[placed], ranks[placed]
+            codes, ranks, at = np.delete(codes, placed), np.delete(ranks, placed), np.delete(at, placed) + 1 & self.mask
+
+    def home(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, or NEVER."""
+        codes = left.astype(np.int64) * WIDE + right
+        at = self.home(codes)
+        there = self.codes[at]
+        out = np.where(there == codes, self.ranks[at], np.int32(NEVER))
+        open_ = np.flatnonzero((there != codes) & (there >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.mask
+            there = self.codes[at[open_]]
+            hit = there == codes[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+def type_arrays(tokens: list[str], table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all tokens end to end, and how many each has.
+
+    In each round every token gets its first merge at all its places, as it would alone; only pairs beside a merge are looked
+    up again.
     """
-    raw, none = [t.encode("utf-8") for t in tokens], 1 << 40
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    ids = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + len(SPECIALS)
-    word, out = np.repeat(np.arange(len(raw)), sizes), [[] for _ in raw]
+    raw = [t.encode("utf-8") for t in tokens]
+    ids = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + np.int32(len(SPECIALS))
+    word, done = np.repeat(np.arange(len(raw), dtype=np.int32), np.fromiter(map(len, raw), np.int64, len(raw))), []
+
+    def ranks(at: np.ndarray) -> np.ndarray:
+        """Of the pairs that begin at some places before the last."""
+        return np.where(word[at + 1] == word[at], table.find(ids[at], ids[at + 1]), np.int32(NEVER))
+
+    made = np.append(ranks(np.arange(len(ids) - 1)), np.int32(NEVER)) if len(ids) else ids
     while len(ids):
         begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        made = np.full(len(ids), none)
-        if len(codes):
-            pair = ids[:-1] * WIDE + ids[1:]
-            at = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
-            made[:-1] = np.where((codes[at] == pair) & (word[1:] == word[:-1]), rank[at], none)
-        sizes = np.diff(begin, append=len(ids))
-        least = np.repeat(np.minimum.reduceat(made, begin), sizes)
-        ready = least[begin] == none
+        sizes, least = np.diff(begin, append=len(ids)), np.minimum.reduceat(made, begin)
+        least = np.repeat(least, sizes)
+        ready = least == NEVER
         if ready.any():
-            flat = ids.tolist()
-            for w, i, n in zip(word[begin[ready]].tolist(), begin[ready].tolist(), sizes[ready].tolist()):
-                out[w] = flat[i : i + n]
-        first = np.flatnonzero((made == least) & (least < none))
+            done.append((word[ready], ids[ready]))
+            ids, word, made, least = ids[~ready], word[~ready], made[~ready], least[~ready]
+        first = np.flatnonzero(made == least)
         first = first[alternate(first, first + 1)]  # in a row of equal ids every second pair, from the left
-        ids[first] = made[first] + len(SPECIALS) + 256
-        keep = least < none
+        ids[first] = made[first] + np.int32(len(SPECIALS) + 256)
+        keep = np.ones(len(ids), dtype=bool)
         keep[first + 1] = False
-        ids, word = ids[keep], word[keep]
-    return out
+        ids, word, made = ids[keep], word[keep], made[keep]
+        first -= np.arange(len(first))
+        made[first] = NEVER
+        beside = np.concatenate([first - 1, first])
+        beside = beside[(beside >= 0) & (beside < len(ids) - 1)]
+        made[beside] = ranks(beside)
+    words = np.concatenate([w for w, _ in done]) if done else word
+    flat = np.concatenate([x for _, x in done]) if done else ids
+    return flat[np.argsort(words, kind="stable")].astype(np.int64), np.bincount(words, minlength=len(raw))
+
+
+def type_ids(tokens: list[str], codes: np.ndarray, rank: np.ndarray) -> list[list[int]]:
+    """The ids of each token, given the merges' pairs, sorted, and their ranks."""
+    flat, sizes = type_arrays(tokens, PairTable(codes, rank))
+    ends = np.cumsum(sizes).tolist()
+    flat = flat.tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class TypeMemory(dict):
+    """Pre-token types to their numbers; types that are new are numbered as they come, and get their ids by ``learn``."""
+
+    def __init__(self, table: PairTable, fixed: dict[str | None, int]):
+        super().__init__(zip(fixed, range(len(fixed))))
+        self.table, self.new = table, []
+        self.flat, self.begin = np.array(list(fixed.values()), dtype=np.int64), np.arange(len(fixed) + 1)
+
+    def __missing__(self, token: str) -> int:
+        self.new.append(token)
+        self[token] = n = len(self)
+        return n
+
+    def learn(self) -> None:
+        if self.new:
+            flat, sizes = type_arrays(self.new, self.table)
+            self.flat, self.begin = np.concatenate([self.flat, flat]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            self.new = []
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts end to end, and where each text's end."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        types = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(ends[-1]) if len(ends) else 0)
+        self.learn()
+        begin = self.begin[types]
+        sizes = self.begin[types + 1] - begin
+        after = np.append(0, np.cumsum(sizes))
+        return self.flat[np.arange(after[-1]) + np.repeat(begin - after[:-1], sizes)], after[ends]
 
 
 def encode(docs: DataFrame, merges: list[tuple[int, int]], eos: int | None = EOS) -> DataFrame:
     """Column ``ids`` added: the ids of each text, then ``eos``; special tokens in a text are one id each."""
-    held = docs.sparkSession.sparkContext.broadcast(merges)
+    held = docs.sparkSession.sparkContext.broadcast(np.array(merges, dtype=np.int64).reshape(-1, 2))
 
-    @F.pandas_udf("array<long>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         split = regex.compile(SPLIT.removeprefix("(?U)"))
         special = regex.compile("(" + "|".join(map(regex.escape, SPECIALS)) + ")")
-        codes = np.array([a * WIDE + b for a, b in held.value], dtype=np.int64)
-        order = np.argsort(codes)
-        known: dict[str, list[int]] = {s: [i] for i, s in enumerate(SPECIALS)}
-        end = [eos] if eos is not None else []
+        table = PairTable(held.value[:, 0] * WIDE + held.value[:, 1], np.arange(len(held.value)))
+        end, fixed = [None] if eos is not None else [], {s: i for i, s in enumerate(SPECIALS)} | ({None: eos} if eos is not None else {})
+        known = TypeMemory(table, fixed)
 
         def tokens_of(text: str) -> list[str]:
-            return [t for part in special.split(text) for t in ([part] if part in SPECIALS else split.findall(part))]
+            if "<|" not in text:
+                return split.findall(text) + end
+            return [t for part in special.split(text) for t in ([part] if part in SPECIALS else split.findall(part))] + end
 
         for batch in batches:
-            out = []
+            flat, ends = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
             for first in range(0, len(batch), TEXTS):
                 if len(known) > MEMORY:
-                    known = {s: [i] for i, s in enumerate(SPECIALS)}
-                texts = [tokens_of(t) for t in batch.iloc[first : first + TEXTS].fillna("")]
-                new = list(set(chain.from_iterable(texts)).difference(known))
-                known.update(zip(new, type_ids(new, codes[order], order)))
-                out += [[*chain.from_iterable(map(known.__getitem__, tokens)), *end] for tokens in texts]
-            yield pd.Series(out, dtype=object)
-
-    return docs.withColumn("ids", ids_of("text"))
+                    known = TypeMemory(table, fixed)
+                ids, some = known.ids([tokens_of(t or "") for t in batch.slice(first, TEXTS).to_pylist()])
+                flat.append(ids)
+                ends.append(ends[-1][-1] + some)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))
+
+    # a condition on the ids would be moved below them and encode once more for itself, if Spark took them for deterministic
+    return docs.withColumn("ids", ids_of.asNondeterministic()("text"))
 
 
 def decode(ids: list[int], merges: list[tuple[int, int]]) -> str:

@@ -19,7 +19,7 @@ def build_corpus(docs: DataFrame, length: int = packing.SEQUENCE, fim_rate: floa
     kept = materialise(gated.join(dedup.near_dedup(gated), "doc_id", "left_semi"))
     if vocabulary is not None:
         merges = bpe.learn_merges(bpe.pretoken_counts(kept), vocabulary)
-        encoder = lambda cut: materialise(bpe.encode(materialise(cut), merges).select("doc_id", "ids"))
+        encoder = lambda cut: bpe.encode(materialise(cut), merges)
     cut = kept.select("doc_id", fim.fim_transform(F.col("doc_id"), F.col("text"), fim_rate).alias("text"))
     encoded = encoder(cut) if encoder else cut.withColumn("ids", packing.word_ids(F.col("text")))
     return packing.pack(encoded.select("doc_id", "ids"), length)

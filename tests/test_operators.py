@@ -214,6 +214,27 @@ def test_types_encoded_together_as_alone():
     assert bpe.type_ids(tokens, codes[order], order) == want and bpe.type_ids(["ab"], codes[:0], order[:0]) == [[base + 97, base + 98]]
 
 
+def test_bpe_pair_table_finds_what_a_dict_does():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 60, (2, 4000)).astype(np.int32)
+    codes = np.unique(a[:900].astype(np.int64) * bpe.WIDE + b[:900])
+    ranks = rng.permutation(len(codes))
+    known = dict(zip(codes.tolist(), ranks.tolist()))
+    want = [known.get(x * bpe.WIDE + y, bpe.NEVER) for x, y in zip(a.tolist(), b.tolist())]
+    assert bpe.PairTable(codes, ranks).find(a, b).tolist() == want
+    assert (bpe.PairTable(codes[:0], ranks[:0]).find(a, b) == bpe.NEVER).all()
+
+
+def test_bpe_texts_are_encoded_once_when_packed(spark):
+    rows = spark.createDataFrame([(0, "a<|fim_prefix|>b <|c"), (1, None), (2, "")], "doc_id long, text string")
+    encoded = bpe.encode(rows, []).where("ids is not null")
+    assert encoded._jdf.queryExecution().optimizedPlan().toString().count("ids_of(") == 1
+    base = len(bpe.SPECIALS)
+    want = {0: [base + 97, 3, base + 98, base + 32, base + 60, base + 124, base + 99, 0], 1: [0], 2: [0]}
+    assert {r.doc_id: r.ids for r in encoded.collect()} == want
+    assert [r.ids for r in bpe.encode(rows, [], eos=None).orderBy("doc_id").collect()] == [x[:-1] for x in want.values()]
+
+
 def test_no_type_is_left_out(spark):
     rows = spark.range(100_001).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("token"), F.lit(2).cast("long").alias("n"))
     rare = spark.createDataFrame([("zq", 1)], "token string, n long")
