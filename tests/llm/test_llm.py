@@ -1,10 +1,14 @@
 """Training-data operators on small fixtures against brute force, and their edge cases."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -310,6 +314,28 @@ def test_attention_gradient_and_scores():
     assert np.allclose(attention.Scorer(flat.astype(np.float32)).block_scores(later, valid, target)[:, :-1], scores[:, :-1])
 
 
+def test_attention_steps_keep_their_memory():
+    """Pages that each step of training gets anew from the system took half of its time."""
+    code = (
+        "import resource, numpy as np; from tesserae.llm import attention as A; rng = np.random.default_rng(0)\n"
+        "ids, valid, target = rng.integers(0, A.INPUTS, (2560, A.WINDOW)), np.ones((2560, A.WINDOW), bool), rng.integers(0, A.CLASSES, (2560, A.STRIDE))\n"
+        "learner = A.Learner(A.initial(np.zeros(A.CLASSES, np.float32)), rate=0.002); learner.learn(ids, valid, target)\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt; learner.learn(ids, valid, target)\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 40)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert float(done.stdout) < 50  # a step
+
+
+def test_attention_holds_large_logits():
+    rng = np.random.default_rng(4)
+    flat = attention.initial(np.zeros(attention.CLASSES, np.float32))
+    ids, valid, target = rng.integers(0, attention.INPUTS, (40, attention.WINDOW)), np.ones((40, attention.WINDOW), bool), rng.integers(0, attention.CLASSES, (40, attention.STRIDE))
+    attention.unpack(flat)["U"][:] *= 2000
+    loss, grad = attention.loss_and_gradient(flat, ids, valid, target)
+    assert np.isfinite(loss) and np.isfinite(grad).all() and np.isfinite(attention.Scorer(flat).block_scores(ids, valid, target)).all()
+
+
 def test_lm_scores(spark):
     rng = np.random.default_rng(8)
     rows = [(i, prose(int(rng.integers(1, 60)), rng)) for i in range(150)] + [(i + 500 if i is not None else None, *x) for i, *x in EDGE]
