@@ -179,7 +179,11 @@ class Adam:
         self.flat -= x
 
 
-def train(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, epochs: int, rate: float, batch: int = 64) -> np.ndarray:
+def numpy_gradient(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return loss_and_gradient(flat, ids, valid, target)[1]
+
+
+def train(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, epochs: int, rate: float, batch: int = 64, gradient=numpy_gradient) -> np.ndarray:
     """Adam over shuffled batches with a rate that falls to a tenth."""
     keep_freed_memory()
     adam, rng, steps = Adam(flat.copy()), np.random.default_rng(5), max(1, epochs * -(-len(ids) // batch))
@@ -187,24 +191,23 @@ def train(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, target: np.ndarr
         order = rng.permutation(len(ids))
         for i in range(0, len(ids), batch):
             some = order[i : i + batch]
-            _, g = loss_and_gradient(adam.flat, ids[some], valid[some], target[some])
-            adam.move(g, rate * (1 - 0.9 * (adam.step + 1) / steps))
+            adam.move(gradient(adam.flat, ids[some], valid[some], target[some]), rate * (1 - 0.9 * (adam.step + 1) / steps))
     return adam.flat
 
 
 class Learner:
     """Adam over windows that come in pools, for as long as they come; the rate falls with the steps taken to a tenth."""
 
-    def __init__(self, flat: np.ndarray, rate: float, batch: int = 64):
+    def __init__(self, flat: np.ndarray, rate: float, batch: int = 64, gradient=numpy_gradient):
         keep_freed_memory()
-        self.flat, self.rate, self.batch = flat.copy(), rate, batch
+        self.flat, self.rate, self.batch, self.gradient = flat.copy(), rate, batch, gradient
         self.adam, self.rng, self.seen = Adam(self.flat), np.random.default_rng(5), 0
 
     def learn(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray) -> None:
         order = self.rng.permutation(len(ids))
         for i in range(0, len(ids), self.batch):
             some = order[i : i + self.batch]
-            _, g = loss_and_gradient(self.flat, ids[some], valid[some], target[some])
+            g = self.gradient(self.flat, ids[some], valid[some], target[some])
             self.adam.move(g, self.rate * max(0.1, 1 / (1 + (self.adam.step + 1) / 500)))
         self.seen += len(ids)
 

@@ -8,6 +8,7 @@ windows and then by rounds in which every partition trains on the windows of its
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import attention as A
+from tesserae.llm import graph
 from tesserae.llm.common import WORD, id_crc, text_or_empty
 from tesserae.storage import hash_sample, materialise
 
@@ -36,8 +38,8 @@ HOT_WORDS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, ROUNDS = 65_536, 40_000, 4, 1
 EPOCHS, REACH = 4, 350
 #: Windows that are shuffled together in the rounds.
 POOL = 4096
-#: Words that a worker remembers the subwords of, and blocks scored at a time.
-MEMORY, BLOCKS = 300_000, 64
+#: Words that a worker remembers the subwords of, blocks scored at a time, and texts and characters laid out together.
+MEMORY, BLOCKS, TEXTS, CHARACTERS = 300_000, 256, 256, 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SEED = 42  # of the engine's xxhash64
@@ -77,6 +79,11 @@ class Vocabulary:
         out[before, to] = np.log((n + BACKOFF * np.exp(alone[to])) / (seen[before, klass[to]] + BACKOFF))
         return out, share.astype(np.float32)
 
+    @functools.cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What ``after`` gives, made once where the vocabulary is kept."""
+        return self.after()
+
     def inside(self, stream: np.ndarray, after: np.ndarray, share: np.ndarray) -> np.ndarray:
         """Log probability within its class of each subword of a stream after the one before it; the first has none before."""
         inputs, klass = self.input_id[stream], self.klass[stream]
@@ -101,46 +108,81 @@ def word_hash(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Numbers(dict):
+    """Gives each new key the next number, and lists the keys."""
+
+    def __init__(self):
+        self.keys_seen: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.keys_seen.append(key)
+        return n
+
+
 class Encoder:
     """Words to subword ids, remembered until there are ``MEMORY`` of them, as one growing array with offsets."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        self.encode = tiktoken.Encoding("subwords", pat_str=PIECE, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}).encode_ordinary
+        pairs = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        self.encoding = tiktoken.Encoding("subwords", pat_str=PIECE, mergeable_ranks=pairs, special_tokens={})
+        self.encode = self.encoding.encode_ordinary
+        self.bytes = np.zeros(max(pairs.values()) + 1, dtype=np.int64)
+        self.bytes[list(pairs.values())] = list(map(len, pairs))
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.words: list[str] = []
-        self.pieces: list[list[int]] = []
-        self.flat, self.begin = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.index = Numbers()
+        self.words = self.index.keys_seen
+        self.flat, self.begin, self.done = np.empty(1 << 16, dtype=np.int32), np.zeros(1 << 15, dtype=np.int64), 0
 
-    def word_ids(self, words: list[str]) -> list[int]:
+    def word_ids(self, words: list[str]) -> np.ndarray:
         """Indices of words in this memory."""
-        get = self.index.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            index = self.index
-            for i, x in enumerate(out):
-                if x < 0:
-                    w = words[i]
-                    if w not in index:
-                        index[w] = len(self.pieces)
-                        self.words.append(w)
-                        self.pieces.append(self.encode(" " + w))
-                    out[i] = index[w]
-        return out
+        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The subwords of all words, and how many each has.
+
+        They are encoded as one text: no piece holds a space that it does not begin with, so none reaches into the next word,
+        and the subwords' bytes tell where the words end.
+        """
+        text = " " + " ".join(words)
+        try:
+            size = np.fromiter(map(len, words) if text.isascii() else (len(w.encode()) for w in words), dtype=np.int64, count=len(words))
+        except UnicodeEncodeError:  # half a character, for which the encoder puts another
+            each = [self.encode(" " + w) for w in words]
+            return np.array([x for e in each for x in e], dtype=np.int32), np.array(list(map(len, each)), dtype=np.int64)
+        found = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        ends = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum(size + 1)) + 1
+        return found, np.diff(ends, prepend=0)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """All remembered subwords in one array, and where each word's begin."""
-        new = self.pieces[len(self.begin) - 1 :]
-        if new:
-            lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for p in new for x in p), dtype=np.int64, count=int(lengths.sum()))])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-        return self.flat, self.begin
+        n, used = len(self.words), int(self.begin[self.done])
+        if n > self.done:
+            found, lengths = self.encode_all(self.words[self.done :])
+            self.flat, self.begin = room_for(self.flat, used + len(found)), room_for(self.begin, n + 1)
+            self.flat[used : used + len(found)] = found
+            self.begin[self.done + 1 : n + 1] = used + np.cumsum(lengths)
+            self.done, used = n, used + len(found)
+        return self.flat[:used], self.begin[: n + 1]
+
+
+def room_for(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy of twice the room if it has not got ``n`` places."""
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, 2 * len(array)), dtype=array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def remembering(ranks: bytes) -> Encoder:
+    """An encoder that a worker keeps from task to task."""
+    return Encoder(ranks)
 
 
 def subword_stream(words: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -159,6 +201,63 @@ def windows_of(stream: np.ndarray, vocabulary: Vocabulary, blocks: np.ndarray) -
     return inputs, at >= 0, target
 
 
+@dataclass
+class Layout:
+    """Streams (end + text + end) of some texts in rows of ``STRIDE`` places, each after a row that none of its windows sees.
+
+    A stream begins a row, so a window is two rows and its targets are one row a place later; a last end may be the first
+    place of the row before the next stream.  ``slots`` are subwords (-1: none), ``late`` a block's second row, ``of`` its text.
+    """
+
+    slots: np.ndarray
+    late: np.ndarray
+    of: np.ndarray
+    inputs: np.ndarray
+    klass: np.ndarray
+
+    def windows(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, their validity and target classes (-1: none) of some blocks."""
+        late, rows = self.late[begin:end], self.inputs.reshape(-1, A.STRIDE)
+        valid = np.ones((len(late), A.WINDOW), dtype=bool)
+        valid[:, : A.WINDOW - A.STRIDE] = (np.diff(self.of[max(0, begin - 1) : end], prepend=[-1] * (begin == 0)) == 0)[:, None]
+        return np.concatenate([rows[late - 1], rows[late]], axis=1), valid, self.later(self.klass)[late]
+
+    @staticmethod
+    def later(places: np.ndarray) -> np.ndarray:
+        """Rows that begin a place later."""
+        return places[1 : len(places) - A.STRIDE + 1].reshape(-1, A.STRIDE)
+
+
+def lay_out(found: list[np.ndarray], encoder: Encoder, v: Vocabulary) -> Layout:
+    """Of texts given as arrays of remembered words."""
+    pieces, begin = encoder.arrays()
+    words = np.concatenate([np.zeros(0, np.int64), *found])
+    inner = np.bincount(np.repeat(np.arange(len(found)), list(map(len, found))), begin[words + 1] - begin[words], len(found)).astype(np.int64)
+    blocks = -(-(inner + 1) // A.STRIDE)
+    before = np.cumsum(blocks + 1) - (blocks + 1)  # the row before each stream
+    rows = int((blocks + 1).sum()) + 1
+    start = (before + 1) * A.STRIDE
+    slots = np.full(rows * A.STRIDE, -1, dtype=np.int32)
+    slots[start] = slots[start + inner + 1] = v.end
+    stream = subword_stream(words, pieces, begin)
+    slots[np.arange(len(stream)) + np.repeat(start + 1 - (np.cumsum(inner) - inner), inner)] = stream
+    late = np.ones(rows - 1, dtype=bool)
+    late[before] = False
+    klass = np.where(slots >= 0, v.klass[slots], -1).astype(np.int32)
+    return Layout(slots, np.flatnonzero(late), np.repeat(np.arange(len(found)), blocks), v.input_id[slots], klass)
+
+
+def groups(texts) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts that are laid out together."""
+    cuts, size = [0], 0
+    for i, text in enumerate(texts):
+        if i > cuts[-1] and (i - cuts[-1] >= TEXTS or size + len(text) > CHARACTERS):
+            cuts.append(i)
+            size = 0
+        size += len(text)
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], len(texts)]) if b > a]
+
+
 def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(word, n) over all training texts, the end of a text being the empty word; materialised."""
     training = docs.where(id_crc(id_col) % 7 != 2).select(F.explode(F.concat(word_column(text_or_empty(text_col)), F.array(F.lit("")))).alias("word"))
@@ -183,15 +282,18 @@ def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
     held = spark.sparkContext.broadcast(ranks)
 
     def split(batches):
-        encoder = Encoder(held.value)
+        encoder = remembering(held.value)
+        most = len(encoder.bytes)
         for batch in batches:
-            sums: dict[tuple[int, int], int] = {}
-            for word, n in zip(batch["word"], batch["n"]):
-                before = -1
-                for piece in encoder.encode(" " + word) if word else [-2]:
-                    sums[before, piece] = sums.get((before, piece), 0) + n
-                    before = piece
-            yield pd.DataFrame({"before": [x for x, _ in sums], "piece": [x for _, x in sums], "n": list(sums.values())})
+            ends, words = batch["word"] == "", batch[batch["word"] != ""]
+            found, lengths = encoder.encode_all(words["word"].tolist()) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            before = np.concatenate([[-1], found[:-1]]).astype(np.int64)[: len(found)]
+            before[np.cumsum(lengths) - lengths] = -1
+            key, at = np.unique((before + 1) * most + found, return_inverse=True)
+            sums = np.zeros(len(key), dtype=np.int64)
+            np.add.at(sums, at, np.repeat(words["n"].to_numpy(), lengths))
+            last = [[-1], [-2], [batch["n"][ends].sum()]] if ends.any() else [[], [], []]
+            yield pd.DataFrame({"before": np.append(key // most - 1, last[0]), "piece": np.append(key % most, last[1]), "n": np.append(sums, last[2])}).astype("int64")
 
     pairs = materialise(counts.mapInPandas(split, "before int, piece int, n long").groupBy("before", "piece").agg(F.sum("n").alias("n")))
     got = pairs.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
@@ -229,19 +331,18 @@ def first_windows(texts: DataFrame, vocabulary) -> DataFrame:
     one array each."""
     def cut(batches):
         v = vocabulary.value
-        encoder = Encoder(v.ranks)
+        encoder = remembering(v.ranks)
         for batch in batches:
             out = []
             for h, text in zip(batch["h"], batch["text"]):
-                if len(encoder.pieces) > MEMORY:
+                if len(encoder.words) > MEMORY:
                     encoder.forget()
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 at = int(rng.integers(0, max(1, len(text))))
                 low, high = max(0, at - REACH), at + REACH
                 words = words_of(text[low:high])
                 words = words[int(low > 0) : len(words) - int(high < len(text))]  # without words that the ends cut
-                ids = [x for w in encoder.word_ids(words) for x in encoder.pieces[w]]
-                ids = np.array([v.end] * (low == 0) + ids + [v.end] * (high >= len(text)))
+                ids = np.concatenate([[v.end] * (low == 0), subword_stream(encoder.word_ids(words), *encoder.arrays()), [v.end] * (high >= len(text))]).astype(np.int64)
                 if len(ids) > 1:
                     blocks = -(-(len(ids) - 1) // A.STRIDE)
                     first = int(rng.integers(0, max(1, blocks - WINDOWS_PER_TEXT + 1)))
@@ -253,26 +354,18 @@ def first_windows(texts: DataFrame, vocabulary) -> DataFrame:
     return sample.mapInPandas(cut, "h long, ids array<int>, valid array<boolean>, target array<int>")
 
 
-def all_windows(encoder: Encoder, vocabulary: Vocabulary, text: str):
-    """Inputs, their validity and target classes of all windows of a text, ``POOL`` windows at most at a time."""
-    pieces = [x for w in encoder.word_ids(words_of(text)) for x in encoder.pieces[w]]
-    stream = np.array([vocabulary.end, *pieces, vocabulary.end])
-    blocks = -(-(len(stream) - 1) // A.STRIDE)
-    for first in range(0, blocks, POOL):
-        inputs, valid, target = windows_of(stream, vocabulary, np.arange(first, min(blocks, first + POOL)))
-        yield inputs.astype(np.int32), valid, np.where(target >= 0, vocabulary.klass[target], -1).astype(np.int32)
-
-
 def pools(batches, vocabulary: Vocabulary):
-    """All windows of all texts of some batches, about ``POOL`` at a time."""
-    encoder, held, n = Encoder(vocabulary.ranks), [], 0
+    """Inputs, their validity and target classes of all windows of all texts of some batches, about ``POOL`` at a time."""
+    encoder, held, n = remembering(vocabulary.ranks), [], 0
     for batch in batches:
-        for text in batch["text"]:
-            if len(encoder.pieces) > MEMORY:
+        texts = list(batch["text"])
+        for begin, end in groups(texts):
+            if len(encoder.words) > MEMORY:
                 encoder.forget()
-            for some in all_windows(encoder, vocabulary, text):
-                held.append(some)
-                n += len(some[0])
+            laid = lay_out([encoder.word_ids(words_of(t)) for t in texts[begin:end]], encoder, vocabulary)
+            for first in range(0, len(laid.late), POOL):
+                held.append(laid.windows(first, first + POOL))
+                n += len(held[-1][0])
                 if n >= POOL:
                     yield tuple(map(np.concatenate, zip(*held)))
                     held, n = [], 0
@@ -289,13 +382,13 @@ def train_weights(texts: DataFrame, vocabulary: Vocabulary, shared) -> np.ndarra
     """Weights from a bounded sample on the driver, then averaged over what the partitions learn from all windows."""
     spark = texts.sparkSession
     sample = first_windows(texts, shared).toPandas().sort_values("h")
-    flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=EPOCHS, rate=0.01)
+    flat = A.train(A.initial(vocabulary.class_log_share), *as_arrays(sample), epochs=EPOCHS, rate=0.01, gradient=graph.fastest()[0])
     part = 4096
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast(flat)
 
         def learn(batches):
-            learner = A.Learner(held.value, rate=0.002)
+            learner = A.Learner(held.value, rate=0.002, gradient=graph.fastest()[0])
             for pool in pools(batches, shared.value):
                 learner.learn(*pool)
             if learner.seen:
@@ -335,20 +428,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(batches):
         flat, known = model.value
-        v, scorer, encoder = shared.value, A.Scorer(flat), Encoder(shared.value.ranks)
-        after, share = v.after()
+        v, scorer, encoder = shared.value, graph.fastest()[1](flat), remembering(shared.value.ranks)
         log_known, hashes = np.zeros(0), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.iloc[first : first + 256]
-                if len(encoder.pieces) > MEMORY:
+            ids, texts = batch["doc_id"], list(batch["text"])
+            for begin, end in groups(texts):
+                if len(encoder.words) > MEMORY:
                     encoder.forget()
                     log_known, hashes = log_known[:0], hashes[:0]
-                found = [np.array(encoder.word_ids(words_of(t)), dtype=np.int64) for t in part["text"]]
+                found = [encoder.word_ids(words_of(t)) for t in texts[begin:end]]
                 new = encoder.words[len(log_known) :]
-                log_known = np.append(log_known, [np.log10(known[w] + 1) if w in known else -1.0 for w in new])
-                hashes = np.append(hashes, np.array([0 if w in known else word_hash(w) for w in new], dtype=np.int64))
-                yield rows_of(part["doc_id"], found, v, (after, share), scorer, encoder, log_known, hashes, known.get("", 0))
+                counted = np.array([known.get(w, 0) for w in new], dtype=np.int64)
+                log_known = np.append(log_known, np.where(counted > 0, np.log10(counted + 1), -1.0))
+                hashes = np.append(hashes, np.array([0 if n else word_hash(w) for w, n in zip(new, counted.tolist())], dtype=np.int64))
+                yield rows_of(ids.iloc[begin:end], found, v, scorer, encoder, log_known, hashes, known.get("", 0))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
@@ -365,31 +458,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def rows_of(ids, found: list[np.ndarray], v: Vocabulary, after: tuple[np.ndarray, np.ndarray], scorer: A.Scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
-    """The result rows of some texts, given as arrays of remembered words; all their blocks are scored together."""
-    pieces, begin = encoder.arrays()
-    streams, hot_known, hot_sum, cold = [], [], [], []
+def rows_of(ids, found: list[np.ndarray], v: Vocabulary, scorer, encoder: Encoder, log_known: np.ndarray, hashes: np.ndarray, ends: int) -> pd.DataFrame:
+    """The result rows of some texts, given as arrays of remembered words; their blocks are scored together."""
+    hot_known, hot_sum, cold = [], [], []
     for words in found:
-        streams.append(np.concatenate([[v.end], subword_stream(words, pieces, begin), [v.end]]).astype(np.int64))
-        logs = log_known[words] if len(words) else np.zeros(0)
-        hot_known.append(int((logs >= 0).sum()) + (ends > 0))
-        hot_sum.append(float(logs[logs >= 0].sum() + np.log10(ends + 1)))
-        cold.append(hashes[words[logs < 0]] if len(words) else np.zeros(0, np.int64))
-    lengths = np.array([len(s) for s in streams])
-    stream = np.concatenate(streams)
-    first = np.cumsum(lengths) - lengths
-    blocks = -(-(lengths - 1) // A.STRIDE)
-    of = np.repeat(np.arange(len(streams)), blocks)
-    start = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * A.STRIDE
-    inputs, klass, inside = v.input_id[stream], v.klass[stream], v.inside(stream, *after)
-    out = np.zeros(len(streams))
-    for i in range(0, len(of), BLOCKS):
-        s, d = start[i : i + BLOCKS], of[i : i + BLOCKS]
-        at = s[:, None] + np.arange(A.WINDOW) - (A.WINDOW - A.STRIDE)
-        low, high = first[d][:, None], (first + lengths - 1)[d][:, None]
-        to = at[:, A.WINDOW - A.STRIDE :] + 1
-        real = to <= high
-        to = np.minimum(to, high)
-        got = scorer.block_scores(inputs[np.clip(at, low, high)], at >= low, klass[to]) + inside[to]
-        out += np.bincount(d, (got * real).sum(axis=1), len(streams))
+        logs = log_known[words]
+        hot = logs >= 0
+        hot_known.append(int(np.count_nonzero(hot)) + (ends > 0))
+        hot_sum.append(float(logs[hot].sum() + np.log10(ends + 1)))
+        cold.append(hashes[words[~hot]])
+    laid = lay_out(found, encoder, v)
+    inside = laid.later(v.inside(laid.slots, *v.tables))
+    out = np.zeros(len(found))
+    for i in range(0, len(laid.late), BLOCKS):
+        inputs, valid, target = laid.windows(i, i + BLOCKS)
+        got = scorer.block_scores(inputs, valid, np.maximum(target, 0)) + inside[laid.late[i : i + BLOCKS]]
+        out += np.bincount(laid.of[i : i + BLOCKS], (got * (target >= 0)).sum(axis=1), len(found))
     return pd.DataFrame({"doc_id": ids.to_numpy(), "n_tokens": [len(w) + 1 for w in found], "hot_known": hot_known, "hot_sum": hot_sum, "cold": cold, "score": out / np.log(10)})

@@ -5,6 +5,7 @@ import os
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import ann, attention, decontam, jaccard, lmscore, mixing, quality, secrets, sharding, substrings, toxicity
+from tesserae.llm import ann, attention, decontam, graph, jaccard, lmscore, mixing, quality, secrets, sharding, substrings, toxicity
 from tesserae.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, row long, skey string"
@@ -327,6 +328,63 @@ def test_attention_steps_keep_their_memory():
     assert float(done.stdout) < 50  # a step
 
 
+def some_windows(n):
+    rng = np.random.default_rng(6)
+    ids, valid = rng.integers(0, attention.INPUTS, (n, attention.WINDOW)).astype(np.int32), np.ones((n, attention.WINDOW), bool)
+    valid[::3, : attention.WINDOW - attention.STRIDE] = False
+    return attention.initial(np.zeros(attention.CLASSES, np.float32)), ids, valid, rng.integers(-1, attention.CLASSES, (n, attention.STRIDE)).astype(np.int32)
+
+
+def test_graphs_agree_with_numpy():
+    pytest.importorskip("onnxruntime")
+    flat, ids, valid, target = some_windows(64)
+    gradient, scorer = graph.fastest()
+    assert (gradient, scorer) == (graph.gradient, graph.Scorer)
+    for some in (slice(None), slice(1, 2), slice(0, 1)):
+        want = attention.numpy_gradient(flat, ids[some], valid[some], target[some])
+        assert np.allclose(gradient(flat, ids[some], valid[some], target[some]), want, rtol=1e-3, atol=1e-5 * np.abs(want).max())
+    assert not gradient(flat, ids, valid, np.full_like(target, -1)).any()
+    target = np.maximum(target, 0)
+    assert np.allclose(scorer(flat).block_scores(ids, valid, target), attention.Scorer(flat).block_scores(ids, valid, target), atol=1e-5)
+
+
+def test_training_takes_the_faster_gradient():
+    """A step in numpy took about twice as long as a graph's, so half a GB was not learnt from in time."""
+    pytest.importorskip("onnxruntime")
+    given, took = some_windows(64), {}
+    for gradient in (attention.numpy_gradient, graph.fastest()[0]) * 12:
+        began = time.perf_counter()
+        gradient(*given)
+        took[gradient] = min(took.get(gradient, 9), time.perf_counter() - began)
+    assert took[graph.fastest()[0]] < 0.8 * took[attention.numpy_gradient]
+
+
+def test_words_are_encoded_together_and_laid_out():
+    with open(lmscore.TOKENIZER, "rb") as f:
+        encoder = lmscore.Encoder(f.read())
+    texts = ["", "x", "naïve 数据 zq9x# " + "y" * 90 + " \u3000 a\u00a0b 1234567890123", *(prose(n, np.random.default_rng(n)) for n in (1, 15, 16, 17, 300))]
+    words = [w for t in texts for w in lmscore.words_of(t)]
+    found, lengths = encoder.encode_all([*words, "z"])
+    each = [encoder.encode(" " + w) for w in [*words, "z"]]
+    assert found.tolist() == [x for e in each for x in e] and lengths.tolist() == list(map(len, each))
+    assert encoder.encode_all(["a\ud800", "b"])[1].tolist() == [len(encoder.encode(" a\ud800")), 1]
+    n = len(encoder.bytes) + 1
+    v = lmscore.Vocabulary(b"", n - 1, np.arange(n) % attention.INPUTS, np.arange(n) % attention.CLASSES, np.zeros(n), np.zeros(attention.CLASSES), np.zeros((3, 0)))
+    laid, at = lmscore.lay_out([encoder.word_ids(lmscore.words_of(t)) for t in texts], encoder, v), 0
+    for k, text in enumerate(texts):
+        stream = np.array([v.end, *(x for w in lmscore.words_of(text) for x in encoder.encode(" " + w)), v.end])
+        blocks = -(-(len(stream) - 1) // attention.STRIDE)
+        inputs, valid, target = lmscore.windows_of(stream, v, np.arange(blocks))
+        got = laid.windows(at, at + blocks)
+        known = target >= 0
+        assert (laid.of[at : at + blocks] == k).all() and (got[1] == valid).all()
+        assert (got[2] == np.where(known, v.klass[target], -1)).all()
+        late = attention.WINDOW - attention.STRIDE
+        assert (got[0][:, :late][valid[:, :late]] == inputs[:, :late][valid[:, :late]]).all() and (got[0][:, late:][known] == inputs[:, late:][known]).all()
+        at += blocks
+    assert at == len(laid.late)
+
+
 def test_attention_holds_large_logits():
     rng = np.random.default_rng(4)
     flat = attention.initial(np.zeros(attention.CLASSES, np.float32))
