@@ -97,14 +97,19 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass"))
 
 
+def byte_words(text: str) -> list[bytes]:
+    """The words of ``words_of`` as UTF-8; bytes are split at just the white space that its pattern leaves out, and faster."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
 def word_column(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def word_hash(word: str) -> int:
+def word_hash(word: bytes) -> int:
     """What ``xxhash64`` gives for the word in SQL."""
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=SEED)
+    h = xxhash.xxh64_intdigest(word, seed=SEED)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -112,16 +117,16 @@ class Numbers(dict):
     """Gives each new key the next number, and lists the keys."""
 
     def __init__(self):
-        self.keys_seen: list[str] = []
+        self.keys_seen: list[bytes] = []
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: bytes) -> int:
         self[key] = n = len(self)
         self.keys_seen.append(key)
         return n
 
 
 class Encoder:
-    """Words to subword ids, remembered until there are ``MEMORY`` of them, as one growing array with offsets."""
+    """Words as UTF-8 to subword ids, remembered until there are ``MEMORY`` of them, as one growing array with offsets."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -138,24 +143,24 @@ class Encoder:
         self.words = self.index.keys_seen
         self.flat, self.begin, self.done = np.empty(1 << 16, dtype=np.int32), np.zeros(1 << 15, dtype=np.int64), 0
 
-    def word_ids(self, words: list[str]) -> np.ndarray:
+    def word_ids(self, words: list[bytes]) -> np.ndarray:
         """Indices of words in this memory."""
         return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The subwords of all words, and how many each has.
 
         They are encoded as one text: no piece holds a space that it does not begin with, so none reaches into the next word,
         and the subwords' bytes tell where the words end.
         """
-        text = " " + " ".join(words)
+        text = (b" " + b" ".join(words)).decode("utf-8", "surrogatepass")
         try:
-            size = np.fromiter(map(len, words) if text.isascii() else (len(w.encode()) for w in words), dtype=np.int64, count=len(words))
+            text.encode()
         except UnicodeEncodeError:  # half a character, for which the encoder puts another
-            each = [self.encode(" " + w) for w in words]
+            each = [self.encode(" " + w.decode("utf-8", "surrogatepass")) for w in words]
             return np.array([x for e in each for x in e], dtype=np.int32), np.array(list(map(len, each)), dtype=np.int64)
         found = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
-        ends = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum(size + 1)) + 1
+        ends = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)) + 1
         return found, np.diff(ends, prepend=0)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +291,7 @@ def build_vocabulary(counts: DataFrame, ranks: bytes) -> Vocabulary:
         most = len(encoder.bytes)
         for batch in batches:
             ends, words = batch["word"] == "", batch[batch["word"] != ""]
-            found, lengths = encoder.encode_all(words["word"].tolist()) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            found, lengths = encoder.encode_all([w.encode() for w in words["word"]]) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             before = np.concatenate([[-1], found[:-1]]).astype(np.int64)[: len(found)]
             before[np.cumsum(lengths) - lengths] = -1
             key, at = np.unique((before + 1) * most + found, return_inverse=True)
@@ -340,7 +345,7 @@ def first_windows(texts: DataFrame, vocabulary) -> DataFrame:
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
                 at = int(rng.integers(0, max(1, len(text))))
                 low, high = max(0, at - REACH), at + REACH
-                words = words_of(text[low:high])
+                words = byte_words(text[low:high])
                 words = words[int(low > 0) : len(words) - int(high < len(text))]  # without words that the ends cut
                 ids = np.concatenate([[v.end] * (low == 0), subword_stream(encoder.word_ids(words), *encoder.arrays()), [v.end] * (high >= len(text))]).astype(np.int64)
                 if len(ids) > 1:
@@ -362,7 +367,7 @@ def pools(batches, vocabulary: Vocabulary):
         for begin, end in groups(texts):
             if len(encoder.words) > MEMORY:
                 encoder.forget()
-            laid = lay_out([encoder.word_ids(words_of(t)) for t in texts[begin:end]], encoder, vocabulary)
+            laid = lay_out([encoder.word_ids(byte_words(t)) for t in texts[begin:end]], encoder, vocabulary)
             for first in range(0, len(laid.late), POOL):
                 held.append(laid.windows(first, first + POOL))
                 n += len(held[-1][0])
@@ -424,7 +429,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = build_vocabulary(counts, ranks)
     shared = spark.sparkContext.broadcast(vocabulary)
     flat = train_weights(training_texts(docs, id_col, text_col), vocabulary, shared)
-    model = spark.sparkContext.broadcast((flat, dict(zip(hot["word"], hot["n"].tolist()))))
+    model = spark.sparkContext.broadcast((flat, dict(zip((w.encode() for w in hot["word"]), hot["n"].tolist()))))
 
     def score(batches):
         flat, known = model.value
@@ -436,12 +441,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(encoder.words) > MEMORY:
                     encoder.forget()
                     log_known, hashes = log_known[:0], hashes[:0]
-                found = [encoder.word_ids(words_of(t)) for t in texts[begin:end]]
+                found = [encoder.word_ids(byte_words(t)) for t in texts[begin:end]]
                 new = encoder.words[len(log_known) :]
                 counted = np.array([known.get(w, 0) for w in new], dtype=np.int64)
                 log_known = np.append(log_known, np.where(counted > 0, np.log10(counted + 1), -1.0))
                 hashes = np.append(hashes, np.array([0 if n else word_hash(w) for w, n in zip(new, counted.tolist())], dtype=np.int64))
-                yield rows_of(ids.iloc[begin:end], found, v, scorer, encoder, log_known, hashes, known.get("", 0))
+                yield rows_of(ids.iloc[begin:end], found, v, scorer, encoder, log_known, hashes, known.get(b"", 0))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]

@@ -364,13 +364,15 @@ def test_words_are_encoded_together_and_laid_out():
         encoder = lmscore.Encoder(f.read())
     texts = ["", "x", "naïve 数据 zq9x# " + "y" * 90 + " \u3000 a\u00a0b 1234567890123", *(prose(n, np.random.default_rng(n)) for n in (1, 15, 16, 17, 300))]
     words = [w for t in texts for w in lmscore.words_of(t)]
-    found, lengths = encoder.encode_all([*words, "z"])
+    every = "".join(map(chr, [*range(1, 0x3100), 0xFEFF, 0x1F600])) + " a\x0bB\x1cC\x85d\x00e"
+    assert all([w.decode() for w in lmscore.byte_words(t)] == lmscore.words_of(t) for t in [*texts, every])
+    found, lengths = encoder.encode_all([w.encode() for w in [*words, "z"]])
     each = [encoder.encode(" " + w) for w in [*words, "z"]]
     assert found.tolist() == [x for e in each for x in e] and lengths.tolist() == list(map(len, each))
-    assert encoder.encode_all(["a\ud800", "b"])[1].tolist() == [len(encoder.encode(" a\ud800")), 1]
+    assert encoder.encode_all(["a\ud800".encode("utf-8", "surrogatepass"), b"b"])[1].tolist() == [len(encoder.encode(" a\ud800")), 1]
     n = len(encoder.bytes) + 1
     v = lmscore.Vocabulary(b"", n - 1, np.arange(n) % attention.INPUTS, np.arange(n) % attention.CLASSES, np.zeros(n), np.zeros(attention.CLASSES), np.zeros((3, 0)))
-    laid, at = lmscore.lay_out([encoder.word_ids(lmscore.words_of(t)) for t in texts], encoder, v), 0
+    laid, at = lmscore.lay_out([encoder.word_ids(lmscore.byte_words(t)) for t in texts], encoder, v), 0
     for k, text in enumerate(texts):
         stream = np.array([v.end, *(x for w in lmscore.words_of(text) for x in encoder.encode(" " + w)), v.end])
         blocks = -(-(len(stream) - 1) // attention.STRIDE)
